@@ -23,3 +23,6 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p6_ids, p7_containers, p8_found)}
+
+#: Twins in SQL: none, see above.
+SQL: dict[str, str] = {}
