@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paritas.session import written
+
 DAY = "day"
 _DAY_FORM = r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z"
 
@@ -89,10 +91,12 @@ def _has_form(form: str | None, value: Column) -> Column:
     return value.rlike(form)
 
 
-def value_counts(df: DataFrame, spec: TableSpec) -> DataFrame:
-    """load_id, column_name, value, n: how often each value, null included, stands in each column of each load."""
-    columns = [F.col(f"`{c}`").cast("string").alias(c) for c in spec.forms]
-    long = df.select("load_id", *columns).unpivot("load_id", list(spec.forms), "column_name", "value")
+def value_counts(df: DataFrame, spec: TableSpec, only: tuple[str, ...] = ()) -> DataFrame:
+    """load_id, column_name, value, n: how often each value, null included, stands in each column (or in those of `only`)
+    of each load."""
+    names = list(only or spec.forms)
+    columns = [F.col(f"`{c}`").cast("string").alias(c) for c in names]
+    long = df.select("load_id", *columns).unpivot("load_id", names, "column_name", "value")
     return long.groupBy("load_id", "column_name", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -330,8 +334,8 @@ def findings(df: DataFrame, recorded: DataFrame, spec: TableSpec, limits: Limits
     the other's, either way). Only columns in recorded are reported; a recorded column of a load without rows has counts
     of nought. A recorded null equals nothing. Empty tables yield no shifts.
     """
-    counts = value_counts(df, spec)
-    found = profiles(counts, spec)
+    # Written once, a row for each column of each load: it is read for the record and for either load of a pair.
+    found = written(profiles(value_counts(df, spec), spec), "profiles")
     known = recorded.select(
         F.col("load_id").cast("int").alias("load_id"),
         "column_name",
@@ -368,7 +372,7 @@ def findings(df: DataFrame, recorded: DataFrame, spec: TableSpec, limits: Limits
     )
     if not spec.by_share:
         return base.unionByName(simple)
-    shared = counts.where(F.col("column_name").isin(*spec.by_share) & F.col("value").isNotNull())
+    shared = value_counts(df, spec, spec.by_share).where(F.col("value").isNotNull())
     sided = shared.select(
         F.explode(F.array(F.struct("load_id", F.col("n").alias("n1"), F.lit(0).cast("long").alias("n0")), F.struct((F.col("load_id") + 1).alias("load_id"), F.lit(0).cast("long").alias("n1"), F.col("n").alias("n0")))).alias("p"),
         "column_name", "value",
