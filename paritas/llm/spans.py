@@ -6,6 +6,10 @@ super-k-mer, to the bucket of that minimiser, which is the same for equal window
 sorting brings equal windows together. A minimiser that occurs in one document only can't be that of a shared window,
 so super-k-mers are sent only for minimisers of several documents; a bitmap of fixed size tells them, and what it lets
 through wrongly changes nothing but the volume. Equal strings of one portion of documents travel once.
+
+A minimiser whose strings have more than HOT windows in all (a passage that a third of all documents may contain) is no
+single bucket: its windows are dealt out by two 64-bit hashes each, their least and greatest document combined on the
+map side, and the shared ones joined back to where they stand.
 """
 
 from __future__ import annotations
@@ -26,17 +30,23 @@ W, M = 240, 32
 #: Characters handled at a time when minimisers are sought, and when windows are sorted; bits of the bitmap.
 BLOCK, SORTED, BITS = 262_144, 1_500_000, 1 << 26
 
+#: Windows of one minimiser beyond which it is dealt out by window, and the parts in which those are joined back.
+HOT, SALTS = 2_000_000, 8
+
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
-def rolling_hash(codes: np.ndarray, length: int) -> np.ndarray:
+_BASES = (_BASE, np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def rolling_hash(codes: np.ndarray, length: int, base: np.uint64 = _BASE) -> np.ndarray:
     """A 64-bit hash of each run of `length` characters, by doubling: of 2k characters from two of k."""
     with np.errstate(over="ignore"):
         h = (codes.astype(np.uint64) + np.uint64(1)) * _MIX
         h ^= h >> np.uint64(29)
-        h *= _BASE
-        out, taken, width, power = None, 0, 1, _BASE
+        h *= base
+        out, taken, width, power = None, 0, 1, base
         while True:
             if length & width:
                 if out is None:
@@ -115,42 +125,70 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Minimisers with the least and greatest doc_id of a block."""
+    """Minimisers with the least and greatest doc_id of a block, and how many windows their different strings have."""
     for batch in batches:
         for codes, bounds, docs, _ in _blocks(batch):
-            least, starts, _ = super_kmers(codes, bounds)
+            least, starts, ends = super_kmers(codes, bounds)
             if not len(least):
                 continue
             doc = docs[np.searchsorted(bounds, starts, "right") - 1]
-            order = np.argsort(least, kind="stable")
-            least, doc = least[order], doc[order]
-            heads = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (least[heads].view(np.int64), np.minimum.reduceat(doc, heads), np.maximum.reduceat(doc, heads))],
-                ["anchor", "low", "high"],
-            )
-
-
-def _read_bitmap(path: str, bits: int) -> np.ndarray:
+            # Strings are told apart by length and both ends, which is enough to estimate a bucket.
+            h = rolling_hash(codes, M)
+            likely = np.stack([least, h[starts] ^ (h[ends - M] >> np.uint64(1)), (ends - starts).astype(np.uint64)], 1)
+            order = np.lexsort(likely.T[::-1])
+            likely, doc = likely[order], doc[order]
+            heads = np.flatnonzero(np.append(True, likely[1:, 0] != likely[:-1, 0]))
+            fresh = np.append(True, (likely[1:] != likely[:-1]).any(1))
+            windows = np.add.reduceat(fresh * (likely[:, 2].astype(np.int64) - W + 1), heads)
+            columns = likely[heads, 0].view(np.int64), np.minimum.reduceat(doc, heads), np.maximum.reduceat(doc, heads), windows
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["anchor", "low", "high", "windows"])
+
+
+def _read_bitmaps(path: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bits of shared minimisers, and of those among them that are hot."""
     import pyarrow.dataset as ds
 
     place = urlparse(path)
-    rows = ds.dataset(place.path if place.scheme in ("", "file") else path, format="parquet").to_table(columns=["part", "bitmap"])
-    out = np.zeros(bits // 8, np.uint8)
-    for part, bitmap in zip(rows["part"].to_pylist(), rows["bitmap"].to_pylist(), strict=True):
-        out[(part - 1) * 4096 : part * 4096] = np.frombuffer(bitmap, np.uint8)
-    return out
+    rows = ds.dataset(place.path if place.scheme in ("", "file") else path, format="parquet").to_table().to_pylist()
+    out = np.zeros((2, bits // 8), np.uint8)
+    for row in rows:
+        out[int(row["hot"]), (row["part"] - 1) * 4096 : row["part"] * 4096] = np.frombuffer(row["bitmap"], np.uint8)
+    return out[0] | out[1], out[1]
+
+
+def _has_bit(bitmap: np.ndarray, anchors: np.ndarray) -> np.ndarray:
+    at = (anchors & np.uint64(len(bitmap) * 8 - 1)).astype(np.int64)
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
+def _hot_windows(path: str, bits: int):
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Windows of hot anchors: two hashes, doc_id and place of each."""
+        _, hot = _read_bitmaps(path, bits)
+        for batch in batches:
+            for codes, bounds, docs, places in _blocks(batch):
+                least, starts, ends = super_kmers(codes, bounds)
+                hit = _has_bit(hot, least)
+                starts, many = starts[hit], (ends - starts)[hit] - W + 1
+                if not len(starts):
+                    continue
+                at = np.repeat(starts - np.cumsum(many) + many, many) + np.arange(many.sum())
+                piece = np.searchsorted(bounds, at, "right") - 1
+                columns = [rolling_hash(codes, W, base)[at].view(np.int64) for base in _BASES]
+                columns += [docs[piece], places[piece] + at - bounds[piece]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["h1", "h2", "doc_id", "a"])
+
+    return deal
 
 
 def _packer(path: str, bits: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Super-k-mers of shared anchors: anchor, the packed string, and where it stands (docs, places)."""
-        bitmap = _read_bitmap(path, bits)
+        """Super-k-mers of shared anchors that aren't hot: anchor, the packed string, and where it stands (docs, places)."""
+        shared, hot = _read_bitmaps(path, bits)
         for batch in batches:
             for codes, bounds, docs, places in _blocks(batch):
                 least, starts, ends = super_kmers(codes, bounds)
-                at = (least & np.uint64(bits - 1)).astype(np.int64)
-                hit = (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+                hit = _has_bit(shared, least) & ~_has_bit(hot, least)
                 least, starts, ends = least[hit], starts[hit], ends[hit]
                 if not len(least):
                     continue
@@ -269,7 +307,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(held)
 
 
-def shared_spans(documents: DataFrame, bits: int = BITS, partitions: int | None = None) -> DataFrame:
+def shared_spans(documents: DataFrame, bits: int = BITS, partitions: int | None = None, hot: int = HOT) -> DataFrame:
     """documents (doc_id, text) -> doc_id, span_start, span_end: each maximal run of characters of a text of which every
     one lies in some stretch of at least W characters that stands verbatim in the text of another doc_id.
 
@@ -282,20 +320,21 @@ def shared_spans(documents: DataFrame, bits: int = BITS, partitions: int | None
         F.col("doc_id").isNotNull() & (F.length("text") >= W)
     )
     anchors = (
-        texts.mapInArrow(_anchors, "anchor long, low long, high long")
+        texts.mapInArrow(_anchors, "anchor long, low long, high long, windows long")
         .groupBy("anchor")
-        .agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        .agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("windows").alias("windows"))
         .where("low <> high")
     )
     bit = F.pmod("anchor", F.lit(bits)) + 1
-    bitmap = anchors.groupBy(F.bitmap_bucket_number(bit).alias("part")).agg(
+    bitmaps = anchors.groupBy((F.col("windows") > hot).alias("hot"), F.bitmap_bucket_number(bit).alias("part")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bitmap")
     )
-    # At most bits / 8 bytes; the workers read it from the shared folder.
-    path = written(bitmap, "anchors").inputFiles()
-    folder = path[0].rsplit("/", 1)[0] if path else None
-    if folder is None:
+    # At most twice bits / 8 bytes; the workers read them from the shared folder.
+    stored = written(bitmaps, "anchors")
+    kinds = {r["hot"] for r in stored.select("hot").distinct().collect()}
+    if not kinds:
         return spark.createDataFrame([], "doc_id long, span_start long, span_end long")
+    folder = stored.inputFiles()[0].rsplit("/", 1)[0]
     n = partitions or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     stretches = (
         texts.mapInArrow(_packer(folder, bits), "anchor long, packed binary, docs array<long>, places array<long>")
@@ -303,6 +342,13 @@ def shared_spans(documents: DataFrame, bits: int = BITS, partitions: int | None
         .sortWithinPartitions("anchor")
         .mapInArrow(_count, "doc_id long, a long, b long")
     )
+    if True in kinds:
+        windows = texts.mapInArrow(_hot_windows(folder, bits), "h1 long, h2 long, doc_id long, a long")
+        common = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high")
+        common = common.select("h1", "h2", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt"))
+        salted = windows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+        found = salted.join(common, ["h1", "h2", "salt"]).select("doc_id", "a", (F.col("a") + W).alias("b"))
+        stretches = stretches.unionByName(found)
     # Stretches of one document are at most its super-k-mers; overlapping and touching ones are merged.
     order = Window.partitionBy("doc_id").orderBy("a", "b")
     reach = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))

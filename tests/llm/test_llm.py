@@ -161,6 +161,9 @@ def test_spans_of_hard_texts(spark):
     assert found(df) == shared(texts, spans.W)
     # A bitmap that lets nearly everything through changes nothing.
     assert found(df, bits=32768) == shared(texts, spans.W)
+    # All anchors dealt out by window, and only those of the commoner passages.
+    assert found(df, hot=0) == shared(texts, spans.W)
+    assert found(df, hot=300) == shared(texts, spans.W)
     assert found(df.limit(0)) == set()
 
 
