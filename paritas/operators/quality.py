@@ -93,10 +93,12 @@ def _has_form(form: str | None, value: Column) -> Column:
 
 def value_counts(df: DataFrame, spec: TableSpec, only: tuple[str, ...] = ()) -> DataFrame:
     """load_id, column_name, value, n: how often each value, null included, stands in each column (or in those of `only`)
-    of each load."""
+    of each load; rows with a null load_id are in no load."""
     names = list(only or spec.forms)
-    columns = [F.col(f"`{c}`").cast("string").alias(c) for c in names]
-    long = df.select("load_id", *columns).unpivot("load_id", names, "column_name", "value")
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value")) for c in names])
+    # Two readings of the counts share one exchange: hence inline(), whose plans Spark knows to be equal, unlike those of
+    # unpivot(), and rows in no load are left out here, where every reading has it alike.
+    long = df.where(F.col("load_id").isNotNull()).select("load_id", F.inline(cells))
     return long.groupBy("load_id", "column_name", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -137,7 +139,8 @@ def profiles(counts: DataFrame, spec: TableSpec) -> DataFrame:
         F.max("value").alias("max_value"),
         F.max(most).alias("most_abs"),
     )
-    return base.join(top, ["load_id", "column_name"])
+    # Both have the same keys. A full join lets no filter on them sink into one side alone, which would part the exchange.
+    return base.join(top, ["load_id", "column_name"], "full")
 
 
 # --- the classifier -------------------------------------------------------------------------------------------------
