@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paritas.session import shared_folder
+
 #: Of files of one name, the first of these counts.
 SUFFIXES = (".json", ".jsonl", ".csv")
 
@@ -43,7 +46,9 @@ class FileSource:
         if listed:
             return self.spark.read.option("multiLine", True).option("mode", "FAILFAST").json(str(path))
         rows = text.select(F.explode(F.map_values(F.from_json("value", "map<string,string>"))).alias("row"))
-        return self.spark.read.option("mode", "FAILFAST").json(rows)
+        folder = f"{shared_folder(self.spark)}/paritas/rows-{uuid.uuid4().hex}"
+        rows.write.text(folder)
+        return self.spark.read.option("mode", "FAILFAST").json(folder)
 
     def schema(self) -> dict[str, list[str]]:
         return {t: sorted(self.read(t).columns) for t in self.tables()}
