@@ -102,11 +102,12 @@ def value_counts(df: DataFrame, spec: TableSpec, only: tuple[str, ...] = ()) ->
     return long.groupBy("load_id", "column_name", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def profiles(counts: DataFrame, spec: TableSpec) -> DataFrame:
+def profiles(counts: DataFrame, spec: TableSpec, extremes: bool = True) -> DataFrame:
     """The profile of each column of each load, from value_counts: load_id, column_name, row_count, null_count,
     distinct_count (of non-null values), malformed (rows whose value lacks the form), min_value, max_value, most_abs
     (largest absolute value of the form, of columns compared by range) and top_values (up to five, by count descending,
-    then value ascending). Only a null is null; blank is a value. A load without rows has no profile."""
+    then value ascending). extremes=False leaves out min_value and max_value, which as texts are
+    aggregated by sorting. Only a null is null; blank is a value. A load without rows has no profile."""
     value, n, name = F.col("value"), F.col("n"), F.col("column_name")
     bad = F.lit(False)
     for column, form in spec.forms.items():
@@ -135,8 +136,7 @@ def profiles(counts: DataFrame, spec: TableSpec) -> DataFrame:
         F.coalesce(F.sum(F.when(value.isNull(), n)), F.lit(0)).alias("null_count"),
         F.count("value").alias("distinct_count"),
         F.coalesce(F.sum(F.when(value.isNotNull() & bad, n)), F.lit(0)).alias("malformed"),
-        F.min("value").alias("min_value"),
-        F.max("value").alias("max_value"),
+        *([F.min("value").alias("min_value"), F.max("value").alias("max_value")] if extremes else []),
         F.max(most).alias("most_abs"),
     )
     # Both have the same keys. A full join lets no filter on them sink into one side alone, which would part the exchange.
@@ -338,7 +338,7 @@ def findings(df: DataFrame, recorded: DataFrame, spec: TableSpec, limits: Limits
     of nought. A recorded null equals nothing. Empty tables yield no shifts.
     """
     # Written once, a row for each column of each load: it is read for the record and for either load of a pair.
-    found = written(profiles(value_counts(df, spec), spec), "profiles")
+    found = written(profiles(value_counts(df, spec), spec, extremes=False), "profiles")
     known = recorded.select(
         F.col("load_id").cast("int").alias("load_id"),
         "column_name",
