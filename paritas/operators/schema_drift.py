@@ -177,7 +177,6 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     at = None
     for batch in batches:
         out = []
-        ending: list[tuple[str, str | None]] = []
         for row in batch.itertuples(index=False):
             if row.source_id != source:
                 source, alive, at = row.source_id, {}, None
@@ -188,7 +187,7 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if row.step == 0:
                 known, origin = alive.pop(old, (None, old))
                 if new is not None:
-                    # New names of a file are never names that end in it, but may equal one popped before.
+                    # A new name is never that of a column of the file before.
                     renamed[new] = old
                     alive[new] = (known, origin)
                     out.append((source, row.ord, row.file_no, "alias", origin, new, None))
@@ -200,7 +199,6 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if known is not None and known != row.type:
                     out.append((source, row.ord, row.file_no, "type_changed", renamed.get(new, new), new, row.type))
                 alive[new] = (row.type, origin)
-        del ending
         yield pd.DataFrame(out, columns=["source_id", "ord", "file_no", "what", "old_name", "new_name", "type"])
 
 

@@ -418,7 +418,7 @@ def prof_findings(spark, d):
     return found.select("category", "subject", "status", F.round("confidence", 6).alias("confidence"))
 
 
-@query("""SELECT * FROM (VALUES ('customer_no', 'customer_id', 0.5333, 'REVIEW_REQUIRED'), ('dob', 'customer_id', 0.3, 'REVIEW_REQUIRED'), ('status', 'status', 1.0, 'PROPOSED')) AS x(source_column, target_column, confidence, status)""")
+@query("""SELECT source_column, target_column, CAST(confidence AS double) AS confidence, status FROM (VALUES ('customer_no', 'customer_id', 0.5333, 'REVIEW_REQUIRED'), ('dob', 'customer_id', 0.3, 'REVIEW_REQUIRED'), ('status', 'status', 1.0, 'PROPOSED')) AS x(source_column, target_column, confidence, status)""")
 def prof_mappings(spark, d):
     columns = "position int, name string, data_type string"
     source = spark.createDataFrame([(0, "customer_no", "string"), (1, "dob", "string"), (2, "status", "string")], columns)
@@ -426,12 +426,13 @@ def prof_mappings(spark, d):
     return profile.propose_mappings(source, target)
 
 
-@query("""SELECT metric, distance FROM (VALUES ('schema', 5 / 9), ('entity', 1 - 1 / 3), ('relationship', 0.0), ('semantic', 1 - 3 / 6), ('behavioral', 1 / 3)) AS x(metric, distance)""")
+@query("""SELECT metric, round(CAST(distance AS double), 6) AS distance FROM (VALUES ('schema', 5 / 9), ('entity', 1 - 1 / 3), ('relationship', 0.0), ('semantic', 1 - 3 / 6), ('behavioral', 1 / 3)) AS x(metric, distance)""")
 def prof_genome_distance(spark, d):
     part = lambda t, *c: table(spark, d, t).select(*c)
     left = {"nation": part("nation", "n_nationkey", "n_name", "n_regionkey"), "region": part("region", "r_regionkey")}
     right = {"nation": part("nation", "n_nationkey", "n_name", "n_regionkey"), "supplier": part("supplier", "s_suppkey", "s_name").limit(0)}
-    return profile.genome_distance(profile.genome(left), profile.genome(right))
+    found = profile.genome_distance(profile.genome(left), profile.genome(right))
+    return found.withColumn("distance", F.round("distance", 6))
 
 
 @query("""WITH n AS (SELECT unnest(['n_nationkey', 'customer_no', 'Updated_AT', 'tax_rate', 'acct_ref', 'order_number']) AS name)
@@ -641,7 +642,7 @@ def what_remove_transaction(spark, d):
     return whatif.remove_transaction(table(spark, d, "orders"), "o_orderkey", 7, "o_custkey", "o_totalprice")
 
 
-@query("""SELECT user_id AS entity, json_object('type', max_by(event_type, event_id))::varchar AS state, greatest(0, least(1, round(0.55 + 0.1 * count(*) - 0.15, 6))) AS confidence FROM events GROUP BY 1""")
+@query("""SELECT user_id AS entity, json_object('type', max_by(event_type, event_id))::varchar AS state, CAST(greatest(0, least(1, round(0.55 + 0.1 * count(*) - 0.15, 6))) AS double) AS confidence FROM events GROUP BY 1""")
 def what_reconstruct(spark, d):
     s = table(spark, d, "events").select(F.col("user_id").alias("entity"), F.col("event_id").alias("position"), F.to_json(F.struct(F.col("event_type").alias("type"))).alias("state"))
     return whatif.reconstruct_state(s, invariants=["type", "balance"]).withColumn("confidence", F.round("confidence", 6))
@@ -650,7 +651,7 @@ def what_reconstruct(spark, d):
 _FACTORS = [("a", "volume", 1.0), ("a", "pii_exposure", 0.9), ("a", "inferred_mapping_confidence", 1.0), ("b", "volume", 2.0), ("b", "schema_complexity", 1.0), ("b", "cdc_lag", 1.0), ("b", "pii_exposure", 1.0), ("c", "unknown", 1.0), ("c", "inferred_mapping_confidence", 0.9)]
 
 
-@query("""SELECT * FROM (VALUES ('a', 0.264, 'MEDIUM', '["volume","pii_exposure"]'), ('b', 0.68, 'HIGH', '["schema_complexity","volume","pii_exposure","inferred_mapping_confidence","cdc_lag"]'), ('c', 0.015, 'LOW', '[]')) AS x(subject, score, level, reasons)""")
+@query("""SELECT subject, CAST(score AS double) AS score, level, reasons FROM (VALUES ('a', 0.264, 'MEDIUM', '["volume","pii_exposure"]'), ('b', 0.68, 'HIGH', '["schema_complexity","volume","pii_exposure","inferred_mapping_confidence","cdc_lag"]'), ('c', 0.015, 'LOW', '[]')) AS x(subject, score, level, reasons)""")
 def score_risk(spark, d):
     return scores.risk(spark.createDataFrame(_FACTORS, "subject string, factor string, value double")).withColumn("reasons", F.to_json("reasons"))
 

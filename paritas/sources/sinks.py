@@ -24,6 +24,18 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def committed(spark: SparkSession, path: str, kind: str) -> list[int]:
+    """The numbers n of folders kind-n under a path that are written to the end: those with Spark's _SUCCESS."""
+    fs, p = _fs(spark, path)
+    names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(int(n.rsplit("-", 1)[1]) for n in names if n.startswith(f"{kind}-") and exists(spark, f"{path}/{n}/_SUCCESS"))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
 class VersionedTable:
     """A table in numbered folders. Readers see the greatest version that is committed; a version is committed by the
     file _SUCCESS, which Spark writes last, so an interrupted write is never seen, and rolling back is removing the last
@@ -33,28 +45,23 @@ class VersionedTable:
         self.spark, self.path = spark, path.rstrip("/")
 
     def versions(self) -> list[int]:
-        fs, p = _fs(self.spark, self.path)
-        if not fs.exists(p):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(p)]
-        return sorted(int(n[2:]) for n in names if n.startswith("v=") and exists(self.spark, f"{self.path}/{n}/_SUCCESS"))
+        return committed(self.spark, self.path, "v")
 
     def read(self, version: int | None = None) -> DataFrame | None:
         known = self.versions()
         if not known:
             return None
-        return self.spark.read.parquet(f"{self.path}/v={known[-1] if version is None else version}")
+        return self.spark.read.parquet(f"{self.path}/v-{known[-1] if version is None else version}")
 
     def write(self, df: DataFrame) -> int:
         version = (self.versions() or [-1])[-1] + 1
-        df.write.mode("overwrite").parquet(f"{self.path}/v={version}")
+        df.write.mode("overwrite").parquet(f"{self.path}/v-{version}")
         return version
 
     def rollback(self) -> None:
         known = self.versions()
         if known:
-            fs, p = _fs(self.spark, f"{self.path}/v={known[-1]}")
-            fs.delete(p, True)
+            remove(self.spark, f"{self.path}/v-{known[-1]}")
 
 
 def append_json(df: DataFrame, path: str) -> None:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from paritas.sources.sinks import VersionedTable
+from paritas.sources.sinks import committed, remove
 
 
 def deduplicated_stream(events: DataFrame, time: str, within: str = "1 day") -> DataFrame:
@@ -21,34 +21,64 @@ def deduplicated_stream(events: DataFrame, time: str, within: str = "1 day") ->
     return events.withWatermark(time, within).dropDuplicatesWithinWatermark(["event_id"])
 
 
+STATE = "table_name string, primary_key string, sequence long, event_id string, row string"
+
+
+def _last(changes: DataFrame) -> DataFrame:
+    """The last change of each key; deletions stay, with a null row."""
+    last = F.max(F.struct("sequence", "event_id", "row")).alias("x")
+    return changes.groupBy("table_name", "primary_key").agg(last).select("table_name", "primary_key", "x.*")
+
+
 def apply_changes(events: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
-    """Starts a query that keeps the table at `path` (versions of table_name, primary_key, sequence, event_id, row) up to
-    date with a stream of events (event_id, table_name, primary_key, operation, after, sequence). Late changes are
-    applied in their place: deleted keys stay as tombstones, and a change counts only if it is later than the one that
-    made the present row. A micro-batch that is run again changes nothing."""
+    """Starts a query that keeps the table at `path` up to date with a stream of events (event_id, table_name,
+    primary_key, operation, after, sequence).
+
+    A micro-batch writes the last of its own changes of each key, no more, to a folder of its number; a batch that is run
+    again overwrites its folder. Readers take the last change of a key over all folders, so late changes find their
+    place and repeated ones change nothing. compact() folds the folders into one.
+    """
 
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        store = VersionedTable(batch.sparkSession, path)
+    def write(batch: DataFrame, batch_id: int) -> None:
         sets = F.col("operation").isin("INSERT", "UPDATE")
         changes = batch.where((sets & F.col("after").isNotNull()) | (F.col("operation") == "DELETE")).select(
             "table_name", "primary_key", "sequence", "event_id", F.when(sets, F.col("after")).alias("row")
         )
-        current = store.read()
-        both = changes if current is None else current.unionByName(changes)
-        last = F.max(F.struct("sequence", "event_id", "row")).alias("x")
-        state = both.groupBy("table_name", "primary_key").agg(last)
-        store.write(state.select("table_name", "primary_key", "x.*"))
+        _last(changes).write.mode("overwrite").parquet(f"{path}/batch-{batch_id}")
 
-    writer = events.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
+    writer = events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
+def _folders(spark: SparkSession, path: str) -> tuple[list[str], int]:
+    """The folders that make the state, committed ones only, and the number of the last batch in them."""
+    found = {kind: committed(spark, path, kind) for kind in ("base", "batch")}
+    base = max(found["base"], default=-1)
+    batches = [n for n in found["batch"] if n > base]
+    return [f"{path}/base-{base}"] * (base >= 0) + [f"{path}/batch-{n}" for n in batches], max([base, *batches])
+
+
+def state(spark: SparkSession, path: str) -> DataFrame:
+    """The last change of each key (STATE) of a table kept by apply_changes."""
+    folders, _ = _folders(spark, path)
+    if not folders:
+        return spark.createDataFrame([], STATE)
+    return _last(spark.read.schema(STATE).parquet(*folders).select(*[x.split()[0] for x in STATE.split(", ")]))
+
+
 def current_rows(spark: SparkSession, path: str) -> DataFrame:
-    """table_name, primary_key, row of the rows alive in a table kept by apply_changes."""
-    state = VersionedTable(spark, path).read()
-    if state is None:
-        return spark.createDataFrame([], "table_name string, primary_key string, row string")
-    return state.where("row is not null").select("table_name", "primary_key", "row")
+    """table_name, primary_key, row of the rows alive."""
+    return state(spark, path).where("row is not null").select("table_name", "primary_key", "row")
+
+
+def compact(spark: SparkSession, path: str) -> None:
+    """Folds all committed folders into one, then removes them. Readers see either; no query may write meanwhile."""
+    folders, last = _folders(spark, path)
+    if len(folders) > 1:
+        state(spark, path).write.mode("overwrite").parquet(f"{path}/base-{last}")
+        for folder in folders:
+            if not folder.endswith(f"/base-{last}"):
+                remove(spark, folder)
 
 
 GAPS = "table_name string, first long, last long, state string"

@@ -231,14 +231,20 @@ def test_strict_replay_fails_without_an_image(spark):
 
 
 def test_stream_keeps_the_state_of_the_batch(spark, tmp_path):
-    from paritas.streaming.cdc import apply_changes, current_rows, gap_stream
+    from paritas.streaming.cdc import apply_changes, compact, current_rows, gap_stream
 
     events, at = some_events(5), str(tmp_path)
     for i in range(0, len(events), 25):  # three files, out of order and with repeats across them
         spark.createDataFrame(events[i : i + 25], EVENT).coalesce(1).write.mode("append").parquet(f"{at}/in")
         stream = spark.readStream.schema(EVENT).parquet(f"{at}/in")
         apply_changes(stream, f"{at}/state", f"{at}/checkpoint").awaitTermination()
+        if i == 25:
+            compact(spark, f"{at}/state")
     assert set(map(tuple, current_rows(spark, f"{at}/state").collect())) == apply(events)
+    compact(spark, f"{at}/state")
+    assert set(map(tuple, current_rows(spark, f"{at}/state").collect())) == apply(events)
+    assert [x for x in os.listdir(f"{at}/state")] == ["base-2"]
+    assert current_rows(spark, f"{at}/none").count() == 0
 
     stream = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
     q = gap_stream(stream).writeStream.format("memory").queryName("gaps").option("checkpointLocation", f"{at}/g").trigger(availableNow=True).start()
