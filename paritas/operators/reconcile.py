@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from paritas.functions.hashing import bucket, merkle_root, row_fingerprint, sha256_text, strip_system
 from paritas.operators.orphans import SALTS
+from paritas.session import written
 
 STATS = ("sum", "min", "max", "avg")
 QUANTILES = (0.5, 0.95, 0.99)
@@ -77,16 +78,50 @@ def aggregate_deltas(source: DataFrame, target: DataFrame, fields: list[str]) ->
     return _deltas(aggregates(source, fields), aggregates(target, fields), [f"{f}.{s}" for f in fields for s in STATS], True)
 
 
+def placed(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """by, value, n, before, total: each distinct non-null value of a group, how many rows have it, how many of the group
+    have a smaller one, and how many there are in all. Values are counted on the map side and range-partitioned with
+    their group, so a group of any size is dealt out; places are counted in partitions and offset by those before."""
+    counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+    # Written once, so that the numbers of partitions mean the same to both readings.
+    ranged = written(counted.repartitionByRange(*by, value).withColumn("part", F.spark_partition_id()), "placed")
+    parts = ranged.groupBy(*by, "part").agg(F.sum("n").alias("many"))
+    group = Window.partitionBy(*by)
+    offsets = parts.select(
+        *by, "part",
+        F.coalesce(F.sum("many").over(group.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"),
+        F.sum("many").over(group).alias("total"),
+    )
+    running = F.sum("n").over(Window.partitionBy(*by, "part").orderBy(value)) - F.col("n")
+    keys = [*by, "part"]
+    return ranged.withColumn("running", running).join(offsets, keys).select(*by, value, "n", (F.col("running") + F.col("offset")).alias("before"), "total")
+
+
+def _quantiles(df: DataFrame, fields: list[str], by: list[str]) -> DataFrame:
+    numbers = df.select(*by, *[_number(f).alias(f) for f in fields]).unpivot(by, list(fields), "field", "v")
+    stats = placed(numbers, [*by, "field"], "v")
+    out = []
+    for f in fields:
+        for q in QUANTILES:
+            at = (F.col("total") - 1) * F.lit(q)
+            here = lambda p: F.max(F.when((F.col("field") == f) & (F.col("before") <= p) & (p < F.col("before") + F.col("n")), F.col("v")))  # noqa: B023, E731
+            part = F.max(F.when(F.col("field") == f, at - F.floor(at)))
+            lo, hi = here(F.floor(at)), here(F.ceil(at))
+            out.append(F.when(lo == hi, lo).otherwise(lo + (hi - lo) * part).alias(f"{f}.p{round(q * 100)}"))
+    return stats.groupBy(*by).agg(*out)
+
+
 def quantiles(df: DataFrame, fields: list[str]) -> DataFrame:
-    """One row: `field.p50`, `.p95`, `.p99`, exact with linear interpolation."""
-    each = [F.percentile(_number(f), F.array(*[F.lit(q) for q in QUANTILES])).alias(f"q{i}") for i, f in enumerate(fields)]
-    names = [(f"q{i}", j, f"{f}.p{round(q * 100)}") for i, f in enumerate(fields) for j, q in enumerate(QUANTILES)]
-    return df.agg(*each).select(*[F.get(q, F.lit(j)).alias(n) for q, j, n in names])
+    """One row: `field.p50`, `.p95`, `.p99`, exact with linear interpolation; null for a field without numbers."""
+    return _quantiles(df, list(fields), [])
 
 
 def quantile_deltas(source: DataFrame, target: DataFrame, fields: list[str]) -> DataFrame:
+    """name, source_value, target_value, delta of each quantile both sides have; both are read in one pass."""
+    side = lambda df, name: df.select(F.lit(name).alias("_side"), *[F.col(f"`{f}`") for f in fields])
+    both = written(_quantiles(side(source, "s").unionByName(side(target, "t")), list(fields), ["_side"]), "quantiles")  # two rows
     names = [f"{f}.p{round(q * 100)}" for f in fields for q in QUANTILES]
-    return _deltas(quantiles(source, fields), quantiles(target, fields), names, False)
+    return _deltas(both.where("_side = 's'"), both.where("_side = 't'"), names, False)
 
 
 def duplicate_keys(df: DataFrame, key: Column) -> DataFrame:
@@ -263,9 +298,8 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
 
 def upper_median(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """by, n, least, greatest, mean and p50, the value at place n // 2 counted from 0 in ascending order."""
-    order = Window.partitionBy(*by).orderBy(value)
-    placed = df.where(F.col(value).isNotNull()).withColumn("place", F.row_number().over(order) - 1)
-    sizes = df.groupBy(*by).agg(
-        F.count(value).alias("n"), F.min(value).alias("least"), F.max(value).alias("greatest"), F.avg(value).alias("mean")
-    )
-    return placed.join(sizes, by).where(F.col("place") == F.floor(F.col("n") / 2)).select(*by, "n", "least", "greatest", "mean", F.col(value).alias("p50"))
+    v, n, middle = F.col(value), F.col("n"), F.floor(F.col("total") / 2)
+    return placed(df, by, value).groupBy(*by).agg(
+        F.sum("n").alias("n"), F.min(v).alias("least"), F.max(v).alias("greatest"), (F.sum(v * n) / F.sum(n)).alias("mean"),
+        F.max(F.when((F.col("before") <= middle) & (middle < F.col("before") + n), v)).alias("p50"),
+    )
