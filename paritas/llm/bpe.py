@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paritas.session import spread
+
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -291,7 +293,7 @@ def token_ids(documents: DataFrame, path: str = f"{TOKENIZERS}/{VOCABULARY}") ->
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), lists], ["doc_id", "ids"])
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(encode, "doc_id long, ids array<int>")
+    return spread(documents.select(F.col("doc_id").cast("long"), F.col("text"))).mapInArrow(encode, "doc_id long, ids array<int>")
 
 
 def token_counts(documents: DataFrame, path: str = f"{TOKENIZERS}/{VOCABULARY}") -> DataFrame:
@@ -305,4 +307,4 @@ def token_counts(documents: DataFrame, path: str = f"{TOKENIZERS}/{VOCABULARY}")
             sizes = np.concatenate([np.zeros(0, np.int64), *n])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], ["doc_id", "n_tokens"])
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(count, "doc_id long, n_tokens long")
+    return spread(documents.select(F.col("doc_id").cast("long"), F.col("text"))).mapInArrow(count, "doc_id long, n_tokens long")
