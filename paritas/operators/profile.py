@@ -241,6 +241,15 @@ def genome(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def genome_summary(traits: DataFrame) -> DataFrame:
+    """One row: entity_count, column_count, relationship_count, row_count, and fingerprint, the digest of the traits but for
+    velocities (a list of the schema's size)."""
+    n = lambda trait: F.count(F.when(F.col("trait") == trait, 1)).alias(f"{trait}_count")
+    lasting = F.when(F.col("trait") != "velocity", F.struct("trait", "name"))
+    rows_ = F.coalesce(F.sum(F.when(F.col("trait") == "velocity", F.col("value"))), F.lit(0.0)).cast("long").alias("row_count")
+    return traits.agg(n("entity"), n("column"), n("relationship"), rows_, sha256_text(F.to_json(F.array_sort(F.collect_list(lasting)))).alias("fingerprint"))
+
+
 def genome_distance(left: DataFrame, right: DataFrame) -> DataFrame:
     """metric, distance between two genomes: schema (entities and columns), entity, relationship, semantic as shares of
     traits not in common (0 when neither has any), behavioral as the mean difference of velocities, each at most 1."""

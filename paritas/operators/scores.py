@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Weights of the risk factors (fixed values).
@@ -36,3 +36,8 @@ def certify(gates: DataFrame) -> DataFrame:
     required = F.col("required")
     ok = F.coalesce(F.bool_and(F.when(required, F.coalesce("passed", F.lit(False)))), F.lit(False))
     return gates.groupBy("migration_id").agg(F.when(ok, "CERTIFIED").otherwise("NOT_CERTIFIED").alias("status"))
+
+
+def run_status(byte_equal: Column, semantic_equal: Column, invariants_hold: Column, counts_equal: Column) -> Column:
+    """PASSED when all hold, else INCONCLUSIVE; null is no yes."""
+    return F.when(byte_equal & semantic_equal & invariants_hold & counts_equal, "PASSED").otherwise("INCONCLUSIVE")

@@ -435,6 +435,12 @@ def prof_genome_distance(spark, d):
     return found.withColumn("distance", F.round("distance", 6))
 
 
+@query("""SELECT 2 AS entity_count, 5 AS column_count, 0 AS relationship_count, (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) AS row_count""")
+def prof_genome_summary(spark, d):
+    tables = {"nation": table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"), "region": table(spark, d, "region").select("r_regionkey", "r_name")}
+    return profile.genome_summary(profile.genome(tables)).drop("fingerprint")
+
+
 @query("""WITH n AS (SELECT unnest(['n_nationkey', 'customer_no', 'Updated_AT', 'tax_rate', 'acct_ref', 'order_number']) AS name)
   SELECT name, regexp_matches(name, '(^|_)(id|no|number|code|key|ref)(_|$)', 'i') AS identifier, regexp_replace(lower(name), '_(ref|id|no|number|key)$', '') AS bare,
   CAST(len(list_filter(['customer', 'number'], lambda x: list_contains(string_split(lower(name), '_'), x))) AS double) / len(list_distinct(list_concat(['customer', 'number'], string_split(lower(name), '_')))) AS likeness FROM n""")

@@ -182,6 +182,10 @@ def test_relationships_and_fingerprints(spark):
     assert found[("accounts", "customer_id", "customers", "customer_id")] == pytest.approx(1.0)
     one, two = (profile.schema_fingerprint({"c": x}).collect()[0]["digest"] for x in (c, c.limit(9)))
     assert one != two
+    a_ = profile.genome_summary(profile.genome({"c": c, "a": a})).collect()[0]
+    b_ = profile.genome_summary(profile.genome({"c": c.unionAll(c), "a": a})).collect()[0]
+    assert (a_["entity_count"], a_["column_count"], a_["row_count"], b_["row_count"]) == (2, 4, 30, 40) and a_["relationship_count"] >= 1
+    assert a_["fingerprint"] == b_["fingerprint"]
 
 
 # --- changes ----------------------------------------------------------------------------------------------------------
@@ -379,6 +383,8 @@ def test_times_evidence_and_what_if(spark):
 def test_scores_and_governance(spark):
     gates = spark.createDataFrame([("m", "g", True, False)], "migration_id string, name string, passed boolean, required boolean")
     assert scores.certify(gates).collect()[0]["status"] == "NOT_CERTIFIED"
+    flags = spark.createDataFrame([(True, True), (True, None), (False, True)], "a boolean, b boolean")
+    assert [r[0] for r in flags.select(scores.run_status(F.col("a"), F.col("b"), F.lit(True), F.lit(True))).collect()] == ["PASSED", "INCONCLUSIVE", "INCONCLUSIVE"]
     m = governance.Migration("m")
     with pytest.raises(governance.StateError):
         m.move("CUTOVER")
