@@ -198,3 +198,11 @@ def test_orphans_of_hard_rows(spark):
     assert rows(run(c.limit(0), a)) == set()
     counted = orphan_counts(run(c, a).withColumn("table_name", F.lit("t"))).where("reason = 'missing'").collect()
     assert [(r["period"], r["n"]) for r in counted] == [("2024-01", 2)]
+
+
+def test_orphans_of_a_hot_reference(spark):
+    i = F.col("id")
+    child = spark.range(6000).select(i.cast("string").alias("c"), F.when(i % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), i % 50)).alias("r"), F.lit("2024-05-05").cast("date").alias("d"))
+    parents = spark.range(50).select(F.concat(F.lit("k"), "id").alias("k"), F.lit("2024-01-01").cast("date").alias("a"), F.lit(None).cast("date").alias("b"))
+    out = orphans(child, F.col("c"), F.col("r"), F.col("d"), parents, F.col("k"), F.col("a"), F.col("b")).groupBy("reason").count().collect()
+    assert [tuple(r) for r in out] == [("missing", 2000)]
