@@ -196,3 +196,12 @@ def test_colliding_hashes_are_told_apart(monkeypatch):
     wrong = spans._same_windows(codes, at)
     pairs = lambda g: {tuple(x) for x in np.stack([g, np.arange(len(g))], 1)}
     assert len(set(right)) == len(set(wrong)) and len({*zip(right, wrong, strict=True)}) == len(set(right)) and pairs(right)
+
+
+def test_packing_of_one_common_length(spark):
+    sizes = spark.range(6000).selectExpr("id as doc_id", "case when id % 3 = 0 then 1365 else 1 + id % 4096 end as n_tokens")
+    out = packing.pack(sizes)
+    filled = out.groupBy("container_id").sum("n_tokens").collect()
+    assert max(r[1] for r in filled) <= 4096 and out.count() == 6000
+    total = sum(r[1] for r in filled)
+    assert len(filled) <= 1.01 * -(-total // 4096) + 1
