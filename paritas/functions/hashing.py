@@ -56,11 +56,14 @@ def bucket(key: Column, buckets: int) -> Column:
     return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % buckets).cast("int")
 
 
-def merkle_root(leaves: Column) -> Column:
+def merkle_root(leaves: Column, height: Column | None = None) -> Column:
     """Root of an array of hex digests: neighbours are joined and digested level by level, the last of an odd level with
-    itself; the root of one leaf is the leaf, of none the digest of the empty text."""
+    itself; the root of one leaf is the leaf, of none the digest of the empty text. A height that isn't null is the number
+    of levels, whatever the size: a node left alone is joined with itself up to there, as below the root of a larger tree."""
     size = F.size(leaves)
-    levels = F.when(size > 1, F.sequence(F.lit(1), F.ceil(F.log2(size)).cast("int"))).otherwise(F.array().cast("array<int>"))
+    top = F.when(size > 1, F.ceil(F.log2(size)).cast("int")).otherwise(0)
+    top = top if height is None else F.coalesce(height, top)
+    levels = F.when(top > 0, F.sequence(F.lit(1), top)).otherwise(F.array().cast("array<int>"))
 
     def level(nodes: Column, _: Column) -> Column:
         pairs = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(nodes) / 2).cast("int") - 1, F.lit(0)))

@@ -7,7 +7,6 @@ brought to one row a key with map-side combining first. All rows are compared un
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,7 +18,9 @@ from paritas.session import written
 
 STATS = ("sum", "min", "max", "avg")
 QUANTILES = (0.5, 0.95, 0.99)
-LEAVES = 4096
+#: Levels of a Merkle tree that are folded at once, and the leaves below them.
+HEIGHT = 12
+LEAVES = 1 << HEIGHT
 
 
 def text_key(key: str) -> Column:
@@ -177,41 +178,70 @@ def merkle_buckets(df: DataFrame, key: str, columns: list[str], buckets: int = 1
     """bucket, n, root for each of the buckets by digest of the key, empty ones included.
 
     Leaves are row digests in the order of key and digest; rows that are wholly equal are one leaf with their number.
-    A bucket of more than LEAVES rows on average is folded in parts by the rows' own digests, whose roots are its
-    leaves, so that no gathered list grows with the data, however often a key repeats.
+    The root is that of all leaves of the bucket in one tree, at any size. Leaves are range-partitioned and written, so
+    that each has its place, and the tree is folded in blocks of LEAVES neighbours, so no gathered list grows with the
+    data, however often a key repeats. parts: how many range partitions, which makes no difference to the roots.
     """
     plain = strip_system(df)
-    if parts is None:
-        parts = max(1, math.ceil(plain.count() / (buckets * LEAVES)))
     leaves = (
         plain.select(text_key(key).alias("k"), row_fingerprint(columns).alias("h"))
         .groupBy("k", "h")
         .agg(F.count(F.lit(1)).alias("n"))
         .select(
             bucket(F.col("k"), buckets).alias("bucket"),
-            (F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % parts).cast("int").alias("part"),
             "k",
-            F.when(F.col("n") == 1, F.col("h")).otherwise(sha256_text(F.concat("h", F.lit("*"), "n"))).alias("h"),
+            # Bytes are half of what hex digits are, and have the same order.
+            F.unhex(F.when(F.col("n") == 1, F.col("h")).otherwise(sha256_text(F.concat("h", F.lit("*"), "n")))).alias("h"),
             "n",
         )
     )
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: x["h"])
-    folded = leaves.groupBy("bucket", "part").agg(F.sum("n").alias("n"), merkle_root(listed).alias("root"))
-    if parts > 1:
-        tops = F.transform(F.array_sort(F.collect_list(F.struct("part", "root"))), lambda x: x["root"])
-        folded = folded.groupBy("bucket").agg(F.sum("n").alias("n"), merkle_root(tops).alias("root"))
+    folded = _folded(*_places(leaves, parts))
     every = df.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
-    return every.join(folded.drop("part"), "bucket", "left").select(
-        "bucket", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("root", sha256_text(F.lit(""))).alias("root")
+    return every.join(folded, "bucket", "left").select(
+        "bucket", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(F.lower(F.hex("h")), sha256_text(F.lit(""))).alias("root")
     )
 
 
+def _places(leaves: DataFrame, parts: int | None = None) -> tuple[DataFrame, int]:
+    """The leaves with at, the place in the bucket from 0 by k and h, and size, the leaves of the bucket; and the largest
+    size. Places are counted in range partitions and offset by those before."""
+    order = ["bucket", "k", "h"]
+    ranged = leaves.repartitionByRange(*([parts] if parts else []), *order).sortWithinPartitions(*order)
+    # Written once, so that the numbers mean the same to both readings: the partition in the upper bits, then the row.
+    numbered = written(ranged.select("bucket", "h", "n", F.monotonically_increasing_id().alias("id")), "leaves")
+    part = F.shiftright("id", 33).alias("part")
+    runs = numbered.groupBy("bucket", part).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("many"))
+    of = Window.partitionBy("bucket")
+    before = F.coalesce(F.sum("many").over(of.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = runs.select("bucket", "part", (before - F.col("first")).alias("offset"), F.sum("many").over(of).alias("size"))
+    largest = offsets.agg(F.max("size")).collect()[0][0] or 0
+    # At most as many rows as there are buckets and partitions together, as each partition is a range.
+    placed_ = numbered.withColumn("part", part).join(F.broadcast(offsets), ["bucket", "part"])
+    return placed_.select("bucket", "h", "n", (F.col("id") + F.col("offset")).alias("at"), "size"), largest
+
+
+def _folded(nodes: DataFrame, largest: int, height: int = HEIGHT) -> DataFrame:
+    """bucket, n, h: the roots of nodes (bucket, h, n, at, size) of which the largest bucket has so many. A round folds
+    blocks of 2**height neighbours to a node each; in a bucket of several blocks all of them by `height` levels, so the
+    root is that of one fold over the whole bucket."""
+    block = 1 << height
+    while True:
+        listed = F.transform(F.array_sort(F.collect_list(F.struct("at", "h"))), lambda x: F.lower(F.hex(x["h"])))
+        root = F.unhex(merkle_root(listed, F.when(F.col("size") > block, height)))
+        nodes = (
+            nodes.groupBy("bucket", "size", F.shiftright("at", height).alias("place"))
+            .agg(F.sum("n").alias("n"), root.alias("h"))
+            .select("bucket", "h", "n", F.col("place").alias("at"), F.ceil(F.col("size") / block).alias("size"))
+        )
+        if largest <= block:
+            return nodes.select("bucket", "n", "h")
+        largest = -(-largest // block)
+
+
 def differing_buckets(source: DataFrame, target: DataFrame, key: str, columns: list[str], buckets: int = 16) -> DataFrame:
     """bucket, source_root, target_root of buckets whose roots differ."""
-    # Both sides are folded alike, so the number of parts is that of the larger one.
-    parts = max(1, math.ceil(max(source.count(), target.count()) / (buckets * LEAVES)))
-    a = merkle_buckets(source, key, columns, buckets, parts).select("bucket", F.col("root").alias("source_root"))
-    b = merkle_buckets(target, key, columns, buckets, parts).select("bucket", F.col("root").alias("target_root"))
+    a = merkle_buckets(source, key, columns, buckets).select("bucket", F.col("root").alias("source_root"))
+    b = merkle_buckets(target, key, columns, buckets).select("bucket", F.col("root").alias("target_root"))
     return a.join(b, "bucket").where("source_root <> target_root")
 
 

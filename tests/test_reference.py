@@ -10,7 +10,7 @@ from collections import Counter
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
-from paritas.functions.hashing import bucket, merkle_root, sha256_text
+from paritas.functions.hashing import bucket, merkle_root, row_fingerprint, sha256_text
 from paritas.functions.semantic import normalize_scalar
 from paritas.operators import cdc, evidence, load, profile, reconcile, scores, temporal, whatif
 from paritas.plans import dsl, governance, migration, registry
@@ -121,6 +121,18 @@ def test_roots_are_equal_exactly_for_equal_rows(spark, a, b):
         assert sum(r["n"] for r in m[0]) == len(a)
 
 
+def test_a_root_is_that_of_one_tree_at_any_size(spark):
+    df = spark.range(2 * reconcile.LEAVES + 3)
+    digests = df.select(F.col("id").cast("string").alias("k"), row_fingerprint(["id"]).alias("h")).collect()
+    expected = root([h for _, h in sorted(map(tuple, digests))])
+    assert [reconcile.merkle_buckets(df, "id", ["id"], 1, parts).collect()[0]["root"] for parts in (None, 5)] == [expected] * 2
+    sizes = (1, 2, 3, 4, 5, 15, 16, 17, 21, 65)
+    digest = {n: [sha(f"{n}.{i}") for i in range(n)] for n in sizes}
+    nodes = [(n, bytearray.fromhex(h), 1, i, n) for n in sizes for i, h in enumerate(digest[n])]
+    folded = reconcile._folded(spark.createDataFrame(nodes, "bucket int, h binary, n long, at long, size long"), max(sizes), 2)
+    assert {(r["bucket"], r["n"], bytes(r["h"]).hex()) for r in folded.collect()} == {(n, n, root(digest[n])) for n in sizes}
+
+
 def test_reconcile(spark):
     df = spark.range(50).select("id", (F.col("id") % 7).cast("double").alias("amount"), F.lit("s").alias("_par_x"))
     assert reconcile.reconcile(df, df.withColumn("_par_x", F.lit("t")), "id", ["amount"]).collect()[0]["passed"]
