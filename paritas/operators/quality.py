@@ -7,7 +7,8 @@ Changes of distribution are found by a classifier: for each load and the one num
 over one-hot features of the rows (null or not, values by two independent hashes, magnitudes of numbers) is trained to
 tell the loads apart. It is cross-fitted over two folds of the rows. Per column it is ablated both ways: the column's
 terms are taken out of the joint model, and the column is kept alone (a one-hot model of one column is saturated, so its
-training has a closed form). Columns that tell the loads apart are then held against exact shares and ranges.
+training has a closed form). Columns that tell the loads apart are then held against exact null shares and ranges;
+shares of values are held exactly in every pair, as many values share the cells of the hashes.
 Rows are compressed to counted feature cells before they move, so a load with a third of all rows is no large group: its
 cells are bounded by the feature space.
 """
@@ -322,7 +323,8 @@ def proposals(evidence: DataFrame, limits: Limits = Limits()) -> DataFrame:
     A column is proposed by ablation either way: when taking it out costs the joint model, or keeping it alone still
     tells the loads apart, a share `propose` of the limit or more on held-out rows, or over all rows. Held-out figures
     alone are noisy in small loads; the saturated figures over all rows are the true shift, but for values that share a
-    cell under both hashes. An exact check decides in the end.
+    cell: of columns of more values than cells a large shift may go unproposed, so findings() takes the exact shares of
+    every pair as a further proposal. An exact check decides in the end.
     """
     kept = F.greatest("ablated", "alone")
     tells = lambda own, limit: (F.col(own) >= limit * limits.propose) | (kept >= limit * limits.propose)
@@ -370,7 +372,8 @@ def findings(df: DataFrame, recorded: DataFrame, spec: TableSpec, limits: Limits
     shape = ["row_count", "null_count", "most_abs"]
     this = large.select("load_id", "column_name", *shape)
     other = large.select((F.col("load_id") + 1).alias("load_id"), "column_name", *[F.col(c).alias(f"o_{c}") for c in shape])
-    pairs = proposed.join(this, ["load_id", "column_name"]).join(other, ["load_id", "column_name"])
+    paired = this.join(other, ["load_id", "column_name"])
+    pairs = proposed.join(paired, ["load_id", "column_name"])
     # Shares are compared crosswise in whole numbers, so a difference of exactly the limit is never lost to rounding.
     whole = lambda a, b: (F.col(a) * F.col(b)).cast("decimal(38,0)")
     limit = lambda x: F.lit(str(x)).cast("decimal(10,4)")
@@ -388,7 +391,9 @@ def findings(df: DataFrame, recorded: DataFrame, spec: TableSpec, limits: Limits
         "column_name", "value",
     ).select("p.load_id", "p.n1", "p.n0", "column_name", "value")
     cells = sided.groupBy("load_id", "column_name", "value").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-    both = pairs.where("kind = 'value_shift' and row_count > null_count and o_row_count > o_null_count").select(
+    # Columns of many values share the classifier's cells, where a shift may cancel out: every pair is held against its shares.
+    recorded_shares = known.where(F.col("column_name").isin(*spec.by_share)).select("load_id", "column_name").distinct()
+    both = paired.join(recorded_shares, ["load_id", "column_name"]).where("row_count > null_count and o_row_count > o_null_count").select(
         "load_id",
         "column_name",
         (F.col("row_count") - F.col("null_count")).alias("t1"),

@@ -142,6 +142,18 @@ def test_classifier_proposes_every_shift_the_exact_check_finds(spark):
             assert (load, "kind", "value_shift") in proposed
 
 
+def test_a_shift_of_more_values_than_cells_is_found(spark):
+    """Wholly other values in the second load; in cells of so many values the classifier sees next to nothing."""
+    kind = F.when(F.col("load_id") == 3, F.col("id") + 40000).otherwise(F.col("id")).cast("string").alias("kind")
+    none = [F.lit(None).cast("string").alias(c) for c in ("amount", "day")]
+    both = spark.range(60000).withColumn("load_id", (F.col("id") / 20000).cast("int") + 1)
+    df = both.select(F.lit("T00").alias("id"), kind, *none, "load_id")
+    right = profiles(value_counts(df, SPEC), SPEC)
+    assert rows(findings(df, right, SPEC)) == {(2, "kind", "value_shift"), (3, "kind", "value_shift")}
+    same = df.unionAll(df.where("load_id = 3").withColumn("load_id", F.lit(4)))
+    assert rows(findings(same, right.where("load_id = 3").withColumn("load_id", F.lit(4)), SPEC)) == set()
+
+
 # --- problem 3 --------------------------------------------------------------------------------------------------------
 
 EVENTS = "event_id string, sequence long, table_name string, primary_key string, operation string, after_image string, m int, v string"
