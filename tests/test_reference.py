@@ -435,6 +435,34 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["cutover", "--lag", "1"]) == 2 and main(["cutover", "--passed"]) == 0
 
 
+def test_command_line_prints_whole_tables(spark, tmp_path, capsys):
+    from paritas.cli import main
+
+    n = 1203
+    (tmp_path / "a.json").write_text(json.dumps([{"id": str(i), "amount": 2} for i in range(n)]))
+    (tmp_path / "b.json").write_text('[{"id": "x\\n", "amount": 2}]')
+    assert main(["diagnose", str(tmp_path / "a.json"), str(tmp_path / "b.json")]) == 2
+    printed = capsys.readouterr().out
+    found = json.loads(printed)
+    assert Counter(f["finding"] for f in found["findings"]) == {"missing": n, "unexpected": 1} and found["earliest"] == "0"
+    assert printed == json.dumps(found, indent=2, ensure_ascii=False) + "\n"
+    initial = json.dumps({f"k{i}": {"v": i} for i in range(n)})
+    (tmp_path / "initial.json").write_text(initial)
+    event = {"event_id": "e", "table": "t", "primary_key": "k1", "operation": "DELETE", "before": None, "after": None, "sequence": 1}
+    (tmp_path / "log.json").write_text(json.dumps([event]))
+    assert main(["replay", str(tmp_path / "initial.json"), str(tmp_path / "log.json")]) == 0
+    printed = capsys.readouterr().out
+    assert len(json.loads(printed)) == n - 1 and printed == json.dumps(json.loads(printed), indent=2, ensure_ascii=False) + "\n"
+    times = {"event_time": "2024-01-01", "data_time": "2024-01-01"}
+    (tmp_path / "r.json").write_text(json.dumps([{"record_id": i, **times, "knowledge_time": "2024-01-01" if i < n else "2024-03-01"} for i in range(2 * n)]))
+    assert main(["asof", str(tmp_path / "r.json"), "--date", "2024-02-01"]) == 0
+    shown = json.loads(capsys.readouterr().out)
+    assert [int(r["record_id"]) for r in shown["records"]] == list(range(n)) and len(shown["delta"]) == n
+    (tmp_path / "empty.json").write_text('[{"id": "1", "amount": 2}]')
+    assert main(["diagnose", str(tmp_path / "empty.json"), str(tmp_path / "empty.json")]) == 0
+    assert json.loads(capsys.readouterr().out)["findings"] == []
+
+
 def test_core_without_the_text_operators():
     """Nothing outside paritas/llm and its tests imports it."""
     code = "import sys; sys.modules['paritas.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert 'p1_found' in q and 'p6_ids' not in q; e.oracle_sql()"
