@@ -210,16 +210,10 @@ def rec_key_and_row_hash(spark, d):
     k = F.col("o_orderkey")
     changed = F.when(k % 50 == 7, F.col("o_totalprice") + 0.5).otherwise(F.col("o_totalprice"))
     kept = source_orders(spark, d).where(k % 101 != 0).withColumn("o_totalprice", changed)
-    one = lambda df, side: _one_bucket(flat(df), side)
+    one = lambda df, side: reconcile.key_and_row_hash(flat(df), "o_orderkey", FLAT).select(F.lit(side).alias("side"), "key_hash", "row_hash")
     return one(source_orders(spark, d), "source").unionByName(one(kept, "target"))
 
 
-def _one_bucket(df: DataFrame, side: str) -> DataFrame:
-    keys = reconcile.merkle_buckets(df.select("o_orderkey"), "o_orderkey", ["o_orderkey"], 1, 1).select(F.col("root").alias("key_hash"))
-    rows = reconcile.merkle_buckets(df, "o_orderkey", FLAT, 1, 1).select(F.col("root").alias("row_hash"))
-    return keys.crossJoin(F.broadcast(rows)).select(F.lit(side).alias("side"), "key_hash", "row_hash")
-
-
 @query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in ("customer", "orders", "lineitem")))
 def rec_table_counts(spark, d):
     return reconcile.table_counts({t: table(spark, d, t) for t in ("customer", "orders", "lineitem")})

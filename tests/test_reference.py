@@ -159,6 +159,18 @@ def test_key_and_row_hash_tell_different_things(spark):
     assert a["n"] == 20 and a["key_hash"] == b["key_hash"] and a["row_hash"] != b["row_hash"]
 
 
+def test_key_and_row_hash_is_a_query_without_a_list_of_all_rows(spark, small, monkeypatch):
+    """The query is the operator's own path, in one bucket folded in blocks: with blocks of 16 leaves it is the same."""
+    from paritas.queries.catalogue import QUERIES
+
+    calls, operator, fold = [], reconcile.key_and_row_hash, reconcile._folded
+    monkeypatch.setattr(reconcile, "key_and_row_hash", lambda *a: calls.append(a) or operator(*a))
+    expected = rows(QUERIES["rec_key_and_row_hash"](spark, small))
+    assert len(calls) == 2
+    monkeypatch.setattr(reconcile, "_folded", lambda nodes, largest: fold(nodes, largest, 4))
+    assert rows(QUERIES["rec_key_and_row_hash"](spark, small)) == expected
+
+
 def test_invariants(spark):
     data = [(1, 10.0, 5.0, 3.0, 0.0, 12.0), (2, 10.0, 5.0, 3.0, 0.0, 12.1), (3, None, 5.0, 3.0, 0.0, 12.0), (4, 1e12, 0.0, 0.0, 0.0, 1e12 + 100)]
     df = spark.createDataFrame(data, "id int, opening_balance double, credits double, debits double, adjustments double, closing_balance double")
