@@ -429,6 +429,52 @@ def prof_genome_distance(spark, d):
     return found.withColumn("distance", F.round("distance", 6))
 
 
+LEGACY = {
+    "legacy_customers": ["customer_no", "full_name", "dob", "sex", "status", "phone", "country_code", "updated_at", "load_id", "loaded_at", "deleted_at"],
+    "legacy_accounts": ["acct_no", "customer_ref", "acct_bal", "currency", "status", "opening_balance", "credits", "debits", "adjustments", "closing_balance", "loaded_at", "deleted_at"],
+    "legacy_transactions": ["txn_id", "acct_ref", "amount", "currency", "txn_type", "event_date", "ingest_date", "load_id"],
+}
+_KIND = """CASE WHEN typeof(any_value({c})) IN ('DOUBLE', 'FLOAT') THEN 'number' WHEN typeof(any_value({c})) IN ('INTEGER', 'BIGINT') THEN 'integer' ELSE 'string' END"""
+
+
+def _legacy_relations_sql() -> str:
+    """l, s, x and rel: the relationships of the legacy tables of a confidence of 0.6 or more, from their values."""
+    long = " UNION ALL ".join(f"SELECT '{t}' AS t, '{c}' AS c, {_KIND.format(c=c)} AS k, CAST({c} AS varchar) AS v FROM {t} WHERE {c} IS NOT NULL GROUP BY {c}" for t, cs in LEGACY.items() for c in cs)
+    bare = lambda c: f"regexp_replace(lower({c}), '_(ref|id|no|number|key)$', '')"
+    return f"""l AS ({long}), s AS (SELECT t, c, k, count(*) AS size FROM l GROUP BY 1, 2, 3),
+      x AS (SELECT a.t AS t1, a.c AS c1, b.t AS t2, b.c AS c2, count(*) AS shared FROM l a JOIN l b ON a.v = b.v AND a.t <> b.t WHERE {bare("a.c")} = {bare("b.c")} GROUP BY 1, 2, 3, 4),
+      p AS (SELECT a.t AS t1, a.c AS c1, b.t AS t2, b.c AS c2, 0.45 + 0.2 * (CASE WHEN a.k = b.k THEN 1 ELSE 0 END) + 0.35 * (coalesce(x.shared, 0) / a.size) AS confidence
+        FROM s a JOIN s b ON a.t <> b.t AND {bare("a.c")} = {bare("b.c")} LEFT JOIN x ON x.t1 = a.t AND x.c1 = a.c AND x.t2 = b.t AND x.c2 = b.c),
+      rel AS (SELECT * FROM p WHERE confidence >= 0.6)"""
+
+
+def _legacy_distance_sql() -> str:
+    columns = " UNION ALL ".join(f"SELECT '{t}' AS t, '{c}' AS c, CASE WHEN count({c}) = 0 THEN 'unknown' ELSE {_KIND.format(c=c)} END AS k FROM {t}" for t, cs in LEGACY.items() for c in cs)
+    sizes = " UNION ALL ".join(f"SELECT '{t}' AS t, CAST(count(*) AS double) AS n FROM {t}" for t in LEGACY)
+    pii, identifier = (f"regexp_matches(c, '(^|_)({w})(_|$)', 'i')" for w in ("email|phone|address|ssn|tax|gov|passport|card|account|customer|dob", "id|no|number|code|key|ref"))
+    return f"""WITH {_legacy_relations_sql()}, cols AS ({columns}), sizes AS ({sizes}),
+      traits AS (SELECT 'entity' AS trait, t AS name, t = 'legacy_transactions' AS gone FROM sizes UNION ALL SELECT 'column', t || '.' || c, t = 'legacy_transactions' FROM cols
+        UNION ALL SELECT 'semantic', t || '.' || c || ':' || CASE WHEN {pii} THEN 'pii' WHEN {identifier} THEN 'identifier' ELSE k END, t = 'legacy_transactions' FROM cols
+        UNION ALL SELECT 'relationship', t1 || ':' || c1 || '->' || t2 || ':' || c2, 'legacy_transactions' IN (t1, t2) FROM rel),
+      m AS (SELECT * FROM (VALUES ('schema', 'entity'), ('schema', 'column'), ('entity', 'entity'), ('relationship', 'relationship'), ('semantic', 'semantic')) AS v(metric, trait))
+      SELECT metric, round(CAST(count(*) FILTER (gone) / count(*) AS double), 6) AS distance FROM m JOIN traits USING (trait) GROUP BY 1
+      UNION ALL SELECT 'behavioral', round(avg(CASE WHEN t = 'legacy_transactions' THEN least(1, n) ELSE 0 END), 6) FROM sizes"""
+
+
+@query(_legacy_distance_sql())
+def prof_genome_distance_legacy(spark, d):
+    """Whole tables that have relationships, with and without one of them."""
+    tables = {t: table(spark, d, t) for t in LEGACY}
+    found = profile.genome_distance(profile.genome(tables), profile.genome({t: df for t, df in tables.items() if t != "legacy_transactions"}))
+    return found.withColumn("distance", F.round("distance", 6))
+
+
+@query(f"""WITH {_legacy_relations_sql()} SELECT t1 || '.' || c1 AS subject, 'INFERRED' AS status, round(CAST(confidence AS double), 6) AS confidence, 'to ' || t2 || '.' || c2 AS detail FROM rel""")
+def prof_findings_relationships(spark, d):
+    found = profile.findings({t: table(spark, d, t) for t in LEGACY}).where("category = 'relationship'")
+    return found.select("subject", "status", F.round("confidence", 6).alias("confidence"), "detail")
+
+
 @query("""SELECT 2 AS entity_count, 5 AS column_count, 0 AS relationship_count, (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) AS row_count""")
 def prof_genome_summary(spark, d):
     tables = {"nation": table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"), "region": table(spark, d, "region").select("r_regionkey", "r_name")}

@@ -39,6 +39,25 @@ def test_every_query_has_its_sql_columns(spark, small):
         assert Counter(map(clean, df.collect())) == Counter(map(clean, expected)), name
 
 
+def same_as_twin(spark, small, name):
+    import duckdb
+    from paritas.queries.catalogue import QUERIES, SQL
+
+    con = duckdb.connect()
+    for f in os.listdir(small):
+        con.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{small}/{f}'")
+    df = QUERIES[name](spark, small)
+    found = rows(df)
+    assert found == Counter(con.sql(f"SELECT {', '.join(df.columns)} FROM ({SQL[name]})").fetchall())
+    return found
+
+
+def test_genomes_of_whole_tables_with_relationships(spark, small):
+    distance = dict(same_as_twin(spark, small, "prof_genome_distance_legacy").keys())
+    assert len(distance) == 5 and 0 < distance["relationship"] < 1
+    assert same_as_twin(spark, small, "prof_findings_relationships")
+
+
 # --- transformation language ------------------------------------------------------------------------------------------
 
 
