@@ -31,12 +31,12 @@ def deduplicated_changes(events: DataFrame, columns: list[str]) -> DataFrame:
 
 def _signed_sum(versions: DataFrame, by: list[Column]) -> DataFrame:
     """Each version retracts its predecessor of the group: what is left with a positive sum, once each."""
-    order = Window.partitionBy(*by).orderBy("sequence", "event_id")
+    order = Window.partitionBy(*by).orderBy("fed", "sequence", "event_id")
     both = versions.withColumn(
         "signed",
         F.array(
-            F.struct(F.lit(1).alias("m"), F.struct("sequence", "event_id", "alive").alias("v")),
-            F.struct(F.lit(-1).alias("m"), F.lag(F.struct("sequence", "event_id", "alive")).over(order).alias("v")),
+            F.struct(F.lit(1).alias("m"), F.struct("fed", "sequence", "event_id", "alive").alias("v")),
+            F.struct(F.lit(-1).alias("m"), F.lag(F.struct("fed", "sequence", "event_id", "alive")).over(order).alias("v")),
         ),
     )
     # Both signed rows of a version lie in the same group, so the sum needs no exchange beyond that of the window.
@@ -46,18 +46,22 @@ def _signed_sum(versions: DataFrame, by: list[Column]) -> DataFrame:
         .groupBy(*by, "s.v")
         .agg(F.sum("s.m").alias("m"))
         .where("m > 0")
-        .select(*by, "v.sequence", "v.event_id", "v.alive")
+        .select(*by, "v.fed", "v.sequence", "v.event_id", "v.alive")
     )
 
 
-def current_state(events: DataFrame, salts: int = SALTS) -> DataFrame:
+def current_state(events: DataFrame, salts: int = SALTS, base: DataFrame | None = None) -> DataFrame:
     """The rows alive after all changes: table_name, primary_key, event_id of the change that made the present state.
 
     events has event_id, table_name, primary_key, operation, after_image, sequence. Changes apply by sequence, then
     event_id as text. operation is read trimmed and in upper case; INSERT and UPDATE set the row, and are ignored when
     after_image is null; DELETE removes it; any other operation, null included, is ignored. Keys are exact; a null
     table_name or primary_key is a key of its own. Repeated and out-of-order rows make no difference. Extra columns
-    play no part. An empty feed yields no rows.
+    play no part. An empty feed yields no rows but those of the base.
+
+    base: the rows alive before the feed (table_name, primary_key, event_id of the change that made them), each +1 below
+    every sequence, a null one too. An event_id of the base may come again in the feed, where it is a change of its own.
+    Of several base rows with a key, the one of the greatest event_id stands.
     """
     shaped = events.select(
         "event_id",
@@ -75,5 +79,10 @@ def current_state(events: DataFrame, salts: int = SALTS) -> DataFrame:
         .withColumn("salt", F.pmod(F.xxhash64("event_id"), F.lit(salts)))
     )
     key = ["table_name", "primary_key"]
+    versions = versions.withColumn("fed", F.lit(1))
+    if base is not None:
+        like = lambda c, name: c.cast(versions.schema[name].dataType).alias(name)
+        alive = base.select(*key, like(F.lit(None), "sequence"), like(F.col("event_id"), "event_id"), F.lit(True).alias("alive"))
+        versions = versions.unionByName(alive.withColumns({"salt": F.pmod(F.xxhash64("event_id"), F.lit(salts)), "fed": F.lit(0)}))
     parts = _signed_sum(versions, [*key, "salt"])
     return _signed_sum(parts.drop("salt"), key).where("alive").select(*key, "event_id")

@@ -174,6 +174,22 @@ def test_state_of_hard_events(spark):
     assert rows(current_state(df.limit(0))) == set()
 
 
+def test_state_over_a_base(spark):
+    base = [("t", "kept", "b1"), ("t", "changed", "b2"), ("t", "gone", "b3"), ("u", "gone", "b4"), (None, None, "b5"), ("t", "nothing", "b6"), ("t", "early", "b7"), ("t", "kept", "b1")]
+    feed = [
+        ("1", 1, "t", "changed", "UPDATE", "{}"), ("2", 1, "t", "gone", "DELETE", None), ("3", 2, "t", "new", "INSERT", "{}"), ("4", 3, None, None, "UPDATE", "{}"),
+        ("5", 4, "t", "nothing", "UPDATE", None), ("6", -9, "t", "early", "DELETE", None), ("b4", None, "u", "gone", "DELETE", None),
+    ]
+    df = spark.createDataFrame([(*x, 1, "") for x in feed], EVENTS)
+    before = spark.createDataFrame(base, "table_name string, primary_key string, event_id string")
+    expected = {("t", "kept", "b1"), ("t", "changed", "1"), ("t", "new", "3"), (None, None, "4"), ("t", "nothing", "b6")}
+    assert rows(current_state(df, base=before)) == expected
+    assert rows(current_state(df, salts=1, base=before)) == expected
+    assert rows(current_state(df.limit(0), base=before)) == {x for x in base}
+    half = current_state(df.where("sequence <= 1 or sequence is null"), base=before)
+    assert rows(current_state(df.where("sequence > 1"), base=half)) == expected
+
+
 def test_state_of_a_hot_key(spark):
     i = F.col("id")
     df = spark.range(5000).select(
