@@ -326,6 +326,17 @@ def load_upsert(spark, d):
     return load.upsert(target, batch, "o_custkey", [F.col("o_orderkey")])
 
 
+@query("""WITH l AS (SELECT o_custkey, max(o_orderkey) AS o_orderkey, max_by(o_orderstatus, o_orderkey) AS o_orderstatus FROM orders GROUP BY 1),
+  t AS (SELECT c_custkey FROM customer UNION ALL SELECT -c_custkey FROM customer)
+  SELECT o_custkey, o_orderkey, o_orderstatus FROM l UNION ALL SELECT c_custkey, NULL, 'NONE' FROM t WHERE c_custkey NOT IN (SELECT o_custkey FROM l)""")
+def load_upsert_all(spark, d):
+    """All orders; the rows of the target they leave untouched are customers added under keys that no order has."""
+    k = F.col("c_custkey")
+    customers = table(spark, d, "customer").select("c_custkey")
+    target = customers.unionAll(customers.select(-k)).select(k.alias("o_custkey"), F.lit(None).cast("long").alias("o_orderkey"), F.lit("NONE").alias("o_orderstatus"))
+    return load.upsert(target, table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus"), "o_custkey", [F.col("o_orderkey")])
+
+
 @query("SELECT batch, count(*) AS n, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key FROM (SELECT o_orderkey, CAST((row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 AS bigint) AS batch FROM orders) GROUP BY 1")
 def load_batches(spark, d):
     numbered = load.batches(table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"], 1000)

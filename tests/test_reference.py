@@ -58,6 +58,13 @@ def test_genomes_of_whole_tables_with_relationships(spark, small):
     assert same_as_twin(spark, small, "prof_findings_relationships")
 
 
+def test_all_orders_are_upserted(spark, small):
+    found = same_as_twin(spark, small, "load_upsert_all")
+    placed = {k for k, n, _ in found if n is not None}
+    assert placed == {r[0] for r in spark.read.parquet(f"{small}/orders.parquet").select("o_custkey").collect()}
+    assert any(n is None for _, n, _ in found)
+
+
 # --- transformation language ------------------------------------------------------------------------------------------
 
 
