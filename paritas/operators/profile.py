@@ -221,8 +221,10 @@ def propose_mappings(source: DataFrame, target: DataFrame) -> DataFrame:
 # --- genomes --------------------------------------------------------------------------------------------------------
 
 
-def genome(tables: dict[str, DataFrame]) -> DataFrame:
-    """The traits of a set of tables, one a row: trait (entity, column, relationship, semantic, velocity), name, value."""
+def genome(tables: dict[str, DataFrame], invariants: list[str] = (), uncertainty: dict[str, float] | None = None, evidence: list[str] = ()) -> DataFrame:
+    """The traits of a set of tables, one a row: trait (entity, column, relationship, semantic, velocity, temporal: columns
+    so named, distribution: columns with values), name, value; and what is known beside the tables: names of invariants,
+    the uncertainty of components and ids of evidence."""
     out = None
     for t, df in tables.items():
         p = profile_table(df)
@@ -233,8 +235,16 @@ def genome(tables: dict[str, DataFrame]) -> DataFrame:
             p.select(F.lit("column").alias("trait"), F.concat_ws(".", F.lit(t), "column_name").alias("name"), none),
             p.select(F.lit("semantic").alias("trait"), F.concat(F.lit(f"{t}."), "column_name", F.lit(":"), meaning).alias("name"), none),
         ]
+        name = F.concat_ws(".", F.lit(t), "column_name").alias("name")
+        parts += [
+            p.where(is_kind(F.col("column_name"), "temporal")).select(F.lit("temporal").alias("trait"), name, none),
+            p.where("distinct_count > 0").select(F.lit("distribution").alias("trait"), name, none),
+        ]
         for part in parts:
             out = part if out is None else out.unionByName(part)
+    given = [("invariant", x, None) for x in invariants] + [("uncertainty", k, float(v)) for k, v in (uncertainty or {}).items()] + [("evidence", x, None) for x in evidence]
+    if given:
+        out = out.unionByName(out.sparkSession.createDataFrame(given, "trait string, name string, value double"))
     if len(tables) > 1:
         arrow = F.concat("source_table", F.lit(":"), "source_column", F.lit("->"), "target_table", F.lit(":"), "target_column")
         out = out.unionByName(relationships(tables, 0.6).select(F.lit("relationship").alias("trait"), arrow.alias("name"), F.lit(None).cast("double").alias("value")))
@@ -242,20 +252,23 @@ def genome(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def genome_summary(traits: DataFrame) -> DataFrame:
-    """One row: entity_count, column_count, relationship_count, row_count, and fingerprint, the digest of the traits but for
-    velocities (a list of the schema's size)."""
+    """One row: entity_count, column_count, relationship_count, row_count, fingerprint, the digest of entities, columns,
+    relationships, meanings and invariants (a list of the schema's size), invariant_count, evidence_count and
+    uncertain_components, the names of those of an uncertainty above 0.5."""
     n = lambda trait: F.count(F.when(F.col("trait") == trait, 1)).alias(f"{trait}_count")
-    lasting = F.when(F.col("trait") != "velocity", F.struct("trait", "name"))
+    lasting = F.when(F.col("trait").isin("entity", "column", "relationship", "semantic", "invariant"), F.struct("trait", "name"))
+    uncertain = F.array_sort(F.collect_list(F.when((F.col("trait") == "uncertainty") & (F.col("value") > 0.5), F.col("name")))).alias("uncertain_components")
     rows_ = F.coalesce(F.sum(F.when(F.col("trait") == "velocity", F.col("value"))), F.lit(0.0)).cast("long").alias("row_count")
-    return traits.agg(n("entity"), n("column"), n("relationship"), rows_, sha256_text(F.to_json(F.array_sort(F.collect_list(lasting)))).alias("fingerprint"))
+    return traits.agg(n("entity"), n("column"), n("relationship"), rows_, sha256_text(F.to_json(F.array_sort(F.collect_list(lasting)))).alias("fingerprint"), n("invariant"), n("evidence"), uncertain)
 
 
 def genome_distance(left: DataFrame, right: DataFrame) -> DataFrame:
-    """metric, distance between two genomes: schema (entities and columns), entity, relationship, semantic as shares of
-    traits not in common (0 when neither has any), behavioral as the mean difference of velocities, each at most 1."""
+    """metric, distance between two genomes: schema (entities and columns), entity, relationship, temporal, distribution,
+    semantic, invariant as shares of traits not in common (0 when neither has any), behavioral as the mean difference of
+    velocities, each at most 1."""
     key = ["trait", "name"]
     both = left.select(*key, F.col("value").alias("a"), F.lit(1).alias("l")).join(right.select(*key, F.col("value").alias("b"), F.lit(1).alias("r")), key, "full")
-    metrics = {"schema": ("entity", "column"), "entity": ("entity",), "relationship": ("relationship",), "semantic": ("semantic",)}
+    metrics = {"schema": ("entity", "column"), "entity": ("entity",), **{x: (x,) for x in ("relationship", "temporal", "distribution", "semantic", "invariant")}}
     out = []
     for metric, traits in metrics.items():
         mine = F.col("trait").isin(*traits)

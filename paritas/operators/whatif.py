@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paritas.operators.reconcile import key_and_row_hash
+
 
 def remove_transaction(transactions: DataFrame, key: str, transaction_id, account: str = "account_id", amount: str = "amount") -> DataFrame:
     """One row for a removed transaction: removed, account, delta (minus its amount, 0 when that is no number), touched
@@ -24,6 +26,22 @@ def remove_transaction(transactions: DataFrame, key: str, transaction_id, accoun
     )
 
 
+def touched_transactions(transactions: DataFrame, key: str, transaction_id, account: str = "account_id") -> DataFrame:
+    """k: the other transactions of the account of a removed one, which remove_transaction counts; none when it isn't there."""
+    text = lambda c: F.col(f"`{c}`").cast("string")
+    is_it = text(key).eqNullSafe(F.lit(str(transaction_id)))
+    of = F.coalesce(text(account), F.lit("unknown")).alias("account")
+    one = transactions.where(is_it).agg(F.min(of).alias("account"))  # of repeated rows the least stands, as there
+    return transactions.where(~is_it).select(text(key).alias("k"), of).join(F.broadcast(one), "account").select("k")
+
+
+def fingerprints_without(transactions: DataFrame, key: str, transaction_id) -> DataFrame:
+    """One row: before and after, the digests of all rows with and without a transaction; the same when it isn't there."""
+    rest = transactions.where(~F.col(f"`{key}`").cast("string").eqNullSafe(F.lit(str(transaction_id))))
+    one = lambda df, name: key_and_row_hash(df, key, df.columns).select(F.col("row_hash").alias(name))
+    return one(transactions, "before").crossJoin(F.broadcast(one(rest, "after")))  # one row each
+
+
 def reconstruct_state(snapshots: DataFrame, later: DataFrame | None = None, invariants: list[str] = ()) -> DataFrame:
     """entity, state (JSON text), confidence from snapshots (entity, position, state) and a later state if there is one.
 

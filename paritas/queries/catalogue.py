@@ -437,7 +437,8 @@ def prof_genome_distance(spark, d):
     left = {"nation": part("nation", "n_nationkey", "n_name", "n_regionkey"), "region": part("region", "r_regionkey")}
     right = {"nation": part("nation", "n_nationkey", "n_name", "n_regionkey"), "supplier": part("supplier", "s_suppkey", "s_name").limit(0)}
     found = profile.genome_distance(profile.genome(left), profile.genome(right))
-    return found.withColumn("distance", F.round("distance", 6))
+    # The metrics of its twin; prof_genome_distance_legacy has all.
+    return found.where("metric in ('schema', 'entity', 'relationship', 'semantic', 'behavioral')").withColumn("distance", F.round("distance", 6))
 
 
 LEGACY = {
@@ -466,8 +467,11 @@ def _legacy_distance_sql() -> str:
     return f"""WITH {_legacy_relations_sql()}, cols AS ({columns}), sizes AS ({sizes}),
       traits AS (SELECT 'entity' AS trait, t AS name, t = 'legacy_transactions' AS gone FROM sizes UNION ALL SELECT 'column', t || '.' || c, t = 'legacy_transactions' FROM cols
         UNION ALL SELECT 'semantic', t || '.' || c || ':' || CASE WHEN {pii} THEN 'pii' WHEN {identifier} THEN 'identifier' ELSE k END, t = 'legacy_transactions' FROM cols
+        UNION ALL SELECT 'temporal', t || '.' || c, t = 'legacy_transactions' FROM cols WHERE regexp_matches(c, '(^|_)(date|time|timestamp|created|updated|closed|opened|effective|event)(_|$)', 'i')
+        UNION ALL SELECT 'distribution', t || '.' || c, t = 'legacy_transactions' FROM cols WHERE k <> 'unknown'
+        UNION ALL SELECT 'invariant', 'balance', false UNION ALL SELECT 'invariant', 'totals', true
         UNION ALL SELECT 'relationship', t1 || ':' || c1 || '->' || t2 || ':' || c2, 'legacy_transactions' IN (t1, t2) FROM rel),
-      m AS (SELECT * FROM (VALUES ('schema', 'entity'), ('schema', 'column'), ('entity', 'entity'), ('relationship', 'relationship'), ('semantic', 'semantic')) AS v(metric, trait))
+      m AS (SELECT * FROM (VALUES ('schema', 'entity'), ('schema', 'column'), ('entity', 'entity'), ('relationship', 'relationship'), ('semantic', 'semantic'), ('temporal', 'temporal'), ('distribution', 'distribution'), ('invariant', 'invariant')) AS v(metric, trait))
       SELECT metric, round(CAST(count(*) FILTER (gone) / count(*) AS double), 6) AS distance FROM m JOIN traits USING (trait) GROUP BY 1
       UNION ALL SELECT 'behavioral', round(avg(CASE WHEN t = 'legacy_transactions' THEN least(1, n) ELSE 0 END), 6) FROM sizes"""
 
@@ -476,7 +480,7 @@ def _legacy_distance_sql() -> str:
 def prof_genome_distance_legacy(spark, d):
     """Whole tables that have relationships, with and without one of them."""
     tables = {t: table(spark, d, t) for t in LEGACY}
-    found = profile.genome_distance(profile.genome(tables), profile.genome({t: df for t, df in tables.items() if t != "legacy_transactions"}))
+    found = profile.genome_distance(profile.genome(tables, ["balance", "totals"]), profile.genome({t: df for t, df in tables.items() if t != "legacy_transactions"}, ["balance"]))
     return found.withColumn("distance", F.round("distance", 6))
 
 
@@ -489,7 +493,7 @@ def prof_findings_relationships(spark, d):
 @query("""SELECT 2 AS entity_count, 5 AS column_count, 0 AS relationship_count, (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) AS row_count""")
 def prof_genome_summary(spark, d):
     tables = {"nation": table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"), "region": table(spark, d, "region").select("r_regionkey", "r_name")}
-    return profile.genome_summary(profile.genome(tables)).drop("fingerprint")
+    return profile.genome_summary(profile.genome(tables)).select("entity_count", "column_count", "relationship_count", "row_count")
 
 
 @query("""WITH n AS (SELECT unnest(['n_nationkey', 'customer_no', 'Updated_AT', 'tax_rate', 'acct_ref', 'order_number']) AS name)
@@ -699,6 +703,17 @@ def what_remove_transaction(spark, d):
     return whatif.remove_transaction(table(spark, d, "orders"), "o_orderkey", 7, "o_custkey", "o_totalprice")
 
 
+@query("SELECT CAST(o_orderkey AS varchar) AS k FROM orders WHERE o_orderkey <> 7 AND o_custkey = (SELECT o_custkey FROM orders WHERE o_orderkey = 7)")
+def what_remove_transaction_touched(spark, d):
+    return whatif.touched_transactions(table(spark, d, "orders"), "o_orderkey", 7, "o_custkey")
+
+
+@query(f"""WITH RECURSIVE rest AS (SELECT * FROM orders WHERE o_orderkey <> 7), {_merkle("m1", f"SELECT bucket, k, h FROM ({_leaves('orders', 1)})")}, {_merkle("m2", f"SELECT bucket, k, h FROM ({_leaves('rest', 1)})")}
+  SELECT m1.root AS before, m2.root AS after FROM m1, m2""")
+def what_remove_transaction_fingerprints(spark, d):
+    return whatif.fingerprints_without(flat(source_orders(spark, d)), "o_orderkey", 7)
+
+
 @query("""SELECT user_id AS entity, json_object('type', max_by(event_type, event_id))::varchar AS state, CAST(greatest(0, least(1, round(0.55 + 0.1 * count(*) - 0.15, 6))) AS double) AS confidence FROM events GROUP BY 1""")
 def what_reconstruct(spark, d):
     s = table(spark, d, "events").select(F.col("user_id").alias("entity"), F.col("event_id").alias("position"), F.to_json(F.struct(F.col("event_type").alias("type"))).alias("state"))

@@ -54,10 +54,22 @@ def same_as_twin(spark, small, name):
 
 def test_genomes_of_whole_tables_with_relationships(spark, small):
     distance = dict(same_as_twin(spark, small, "prof_genome_distance_legacy").keys())
-    assert len(distance) == 5 and 0 < distance["relationship"] < 1
+    assert len(distance) == 8 and all(0 < distance[m] < 1 for m in ("relationship", "temporal", "distribution", "invariant"))
     assert same_as_twin(spark, small, "prof_findings_relationships")
 
 
+def test_genome_summary_counts_and_removed_transactions(spark, small):
+    known = profile.genome({"t": spark.range(3)}, ["i"], {"t.id": 0.6, "t": 0.5, "a": 0.9}, ["e1", "e2"])
+    s = profile.genome_summary(known).collect()[0]
+    assert (s["invariant_count"], s["evidence_count"], s["uncertain_components"]) == (1, 2, ["a", "t.id"])
+    assert s["fingerprint"] != profile.genome_summary(profile.genome({"t": spark.range(3)})).collect()[0]["fingerprint"]
+    t = spark.createDataFrame([("1", "A", 5.0), ("2", "A", 1.0), ("3", "B", 2.0), ("4", None, 2.0), ("5", None, 2.0)], "id string, account_id string, amount double")
+    assert [rows(whatif.touched_transactions(t, "id", i)) for i in ("1", "3", "4", "9")] == [Counter([("2",)]), Counter(), Counter([("5",)]), Counter()]
+    same, other = (whatif.fingerprints_without(t, "id", i).collect()[0] for i in ("9", "1"))
+    assert same["before"] == same["after"] == other["before"] != other["after"]
+    assert other["after"] == whatif.fingerprints_without(t.where("id <> '1'"), "id", "1").collect()[0]["before"]
+
+
 def test_all_orders_are_upserted(spark, small):
     found = same_as_twin(spark, small, "load_upsert_all")
     placed = {k for k, n, _ in found if n is not None}
