@@ -1,8 +1,8 @@
 """Differences between two copies of a table, key by key and field by field.
 
-Both copies are brought into one canonical shape and range-partitioned together, so that they share their split points;
-within a partition the rows are sorted by key and side, and one pass merges the two sorted runs: a row meets the row of
-the other side that stands at the same key, or none. Repeated rows fall together before the shuffle.
+Both copies are brought into one canonical shape, one row a key and side, and range-partitioned together, so that they
+share their split points; within a partition the rows are sorted by key and side, and one pass merges the two sorted runs:
+a row meets the row of the other side that stands at the same key, or none.
 """
 
 from __future__ import annotations
@@ -62,14 +62,13 @@ def differences(
         _canonical(right, right_key, [(f, f.right) for f in fields], 1)
     )
     values = [c for c in both.columns if c not in ("k", "side")]
-    # distinct() combines repeats on the map side, so a key that holds a third of the rows is small before it moves.
-    # The grouping and the window below need no further exchange: the range partitioning by k serves them.
+    # The least row of a key is found on the map side first, so a key that holds a third of the rows, equal or not, is a
+    # row a task before it moves, and two rows at most where ranges are cut. The window below needs no further exchange.
     runs = (
-        both.distinct()
+        both.groupBy("k", "side")
+        .agg(F.min(F.struct(*values)).alias("row"))
         .repartitionByRange("k")
         .sortWithinPartitions("k", "side")
-        .groupBy("k", "side")
-        .agg(F.min(F.struct(*values)).alias("row"))
     )
     walk = Window.partitionBy("k").orderBy("side")
     merged = runs.withColumn("other", F.lead(F.struct("side", "row")).over(walk)).withColumn(
