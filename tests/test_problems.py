@@ -6,7 +6,7 @@ from collections import Counter
 import duckdb
 import pytest
 from paritas.functions.text import amount, key_form, normalize_status, trimmed
-from paritas.operators.changes import current_state
+from paritas.operators.changes import _summed, current_state, image
 from paritas.operators.differences import Field, differences
 from paritas.operators.orphans import orphan_counts, orphans
 from paritas.operators.quality import Limits, TableSpec, findings, profiles, proposals, two_sample_test, value_counts
@@ -76,6 +76,17 @@ def test_differences_with_a_hot_key(spark):
     assert rows(differences(hot, other, "k", "k", [Field("e", "e", "e")])) == {("HOT", "e")}
 
 
+def test_a_hot_key_of_unlike_rows_is_one_row_a_side_when_ranges_are_cut(spark):
+    i = F.col("id")
+    df = spark.range(30000).select(F.when(i % 3 == 0, "hot").otherwise(i.cast("string")).alias("k"), i.cast("string").alias("e"))
+    found = differences(df, df.where("e <> '0'"), "k", "k", [Field("e", "e", "e")])
+    assert rows(found) == {("HOT", "e")}
+    plan = found._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "RepartitionByExpression":
+        plan = plan.children().apply(0)
+    assert plan.children().apply(0).nodeName() == "Aggregate"
+
+
 def test_one_exchange_by_key_after_repeats_fall_together(spark):
     df = spark.createDataFrame([("a", "x")], "k string, e string")
     plan = differences(df, df, "k", "k", [Field("e", "e", "e")])._jdf.queryExecution().executedPlan().toString()
@@ -156,7 +167,7 @@ def test_a_shift_of_more_values_than_cells_is_found(spark):
 
 # --- problem 3 --------------------------------------------------------------------------------------------------------
 
-EVENTS = "event_id string, sequence long, table_name string, primary_key string, operation string, after_image string, m int, v string"
+EVENTS = "event_id string, sequence long, table_name string, primary_key string, operation string, after_image string, before_image string, m int, stood string"
 
 
 def test_state_of_hard_events(spark):
@@ -166,10 +177,10 @@ def test_state_of_hard_events(spark):
         ("8", 7, "t", "c", "INSERT", "{}"), ("7", 7, "t", "c", "DELETE", None), ("9", 9, "u", "a", "INSERT", "{}"), ("10", 9, "u", "a", "UPSERT", "{}"), ("11", 10, "u", "a", None, "{}"),
         ("12", 1, None, None, "INSERT", "{}"), ("13", 1, "t", "d", "INSERT", "{}"), ("14", 2, "t", "d", "DELETE", None), ("14", 2, "t", "d", "DELETE", None),
     ]
-    df = spark.createDataFrame([(*x, 1, "") for x in e], EVENTS)
+    df = spark.createDataFrame([(*x, None, 1, "") for x in e], EVENTS)
     expected = {("t", "b", "6"), ("t", "c", "8"), ("u", "a", "9"), (None, None, "12")}
     assert rows(current_state(df)) == expected
-    assert rows(current_state(df, salts=1)) == expected
+    assert rows(current_state(df, block=1)) == rows(current_state(df, block=2)) == expected
     assert rows(current_state(df.unionAll(df))) == expected
     assert rows(current_state(df.limit(0))) == set()
 
@@ -180,11 +191,11 @@ def test_state_over_a_base(spark):
         ("1", 1, "t", "changed", "UPDATE", "{}"), ("2", 1, "t", "gone", "DELETE", None), ("3", 2, "t", "new", "INSERT", "{}"), ("4", 3, None, None, "UPDATE", "{}"),
         ("5", 4, "t", "nothing", "UPDATE", None), ("6", -9, "t", "early", "DELETE", None), ("b4", None, "u", "gone", "DELETE", None),
     ]
-    df = spark.createDataFrame([(*x, 1, "") for x in feed], EVENTS)
+    df = spark.createDataFrame([(*x, None, 1, "") for x in feed], EVENTS)
     before = spark.createDataFrame(base, "table_name string, primary_key string, event_id string")
     expected = {("t", "kept", "b1"), ("t", "changed", "1"), ("t", "new", "3"), (None, None, "4"), ("t", "nothing", "b6")}
     assert rows(current_state(df, base=before)) == expected
-    assert rows(current_state(df, salts=1, base=before)) == expected
+    assert rows(current_state(df, block=1, base=before)) == expected
     assert rows(current_state(df.limit(0), base=before)) == {x for x in base}
     half = current_state(df.where("sequence <= 1 or sequence is null"), base=before)
     assert rows(current_state(df.where("sequence > 1"), base=half)) == expected
@@ -194,10 +205,48 @@ def test_state_of_a_hot_key(spark):
     i = F.col("id")
     df = spark.range(5000).select(
         i.cast("string").alias("event_id"), i.alias("sequence"), F.lit("t").alias("table_name"), F.when(i % 3 == 0, "hot").otherwise(i.cast("string")).alias("primary_key"),
-        F.lit("UPDATE").alias("operation"), F.lit("{}").alias("after_image"),
+        F.lit("UPDATE").alias("operation"), F.concat(F.lit("{"), i).alias("after_image"), F.when(i % 2 == 0, F.concat(F.lit("{"), i - 3)).alias("before_image"),
     )
-    out = rows(current_state(df))
-    assert len(out) == 3334 and ("t", "hot", "4998") in out
+    for block in (64, 1 << 16):
+        out = rows(current_state(df, block=block))
+        assert len(out) == 3334 and ("t", "hot", "4998") in out
+
+
+def test_blocks_leave_one_change_of_a_hot_key_each(spark):
+    i = F.col("id")
+    df = spark.range(6400).select(F.lit("t").alias("table_name"), F.lit("hot").alias("primary_key"), F.lit(1).alias("fed"), i.alias("sequence"), i.cast("string").alias("event_id"), F.lit(None).cast("binary").alias("before"), image(i.cast("string")).alias("after"))
+    first = _summed(df.withColumn("block", F.floor(F.col("sequence") / 64)), ["table_name", "primary_key", "block"])
+    assert first.count() == 100
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_state_with_true_stale_and_absent_before_images(spark, seed):
+    """Few images, so that rows come back to a state they had; before-images of all kinds; a base with its rows."""
+    import random
+
+    rng = random.Random(seed)
+    base = [("t", str(k), f"b{k}", rng.choice(["A", "B", None])) for k in range(6) if rng.random() < 0.6]
+    state = {(t, k): (e, x) for t, k, e, x in base}
+    feed = []
+    for n in range(300):
+        key, op, after = ("t", str(rng.randrange(12))), rng.choice(["INSERT", "UPDATE", "UPDATE", "DELETE"]), rng.choice("ABC")
+        stood = state.get(key, (None, None))[1]
+        before = rng.choice([stood, stood, None, rng.choice("ABC")])
+        feed.append((f"{n}", n, *key, op, None if op == "DELETE" else after, before, 1, ""))
+        if op == "DELETE":
+            state.pop(key, None)
+        else:
+            state[key] = (f"{n}", after)
+    rng.shuffle(feed)
+    df, before = spark.createDataFrame(feed, EVENTS), spark.createDataFrame(base, "table_name string, primary_key string, event_id string, after_image string")
+    expected = {(*k, e) for k, (e, _) in state.items()}
+    assert rows(current_state(df, base=before)) == rows(current_state(df, base=before, block=7)) == expected
+
+
+def test_the_sum_reads_before_images(spark):
+    """A true before-image takes its version away without a correction; the plan reads the column."""
+    plan = current_state(spark.createDataFrame([("1", 1, "t", "a", "INSERT", "{}", None, 1, "")], EVENTS))._jdf.queryExecution().optimizedPlan().toString()
+    assert "before_image" in plan
 
 
 # --- problem 4 --------------------------------------------------------------------------------------------------------
