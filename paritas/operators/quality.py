@@ -4,18 +4,23 @@ Base aggregates are exact: one pass counts every value of every column of a load
 ranges and violations of form follow from these counts.
 
 Changes of distribution are found by a classifier: for each load and the one numbered one lower, a logistic regression
-over one-hot features of the rows (null or not, values by two independent hashes, magnitudes of numbers) is trained to
-tell the loads apart. It is cross-fitted over two folds of the rows. Per column it is ablated both ways: the column's
-terms are taken out of the joint model, and the column is kept alone (a one-hot model of one column is saturated, so its
-training has a closed form). Columns that tell the loads apart are then held against exact null shares and ranges;
-shares of values are held exactly in every pair, as many values share the cells of the hashes.
-Rows are compressed to counted feature cells before they move, so a load with a third of all rows is no large group: its
-cells are bounded by the feature space.
+over one-hot features of the rows (null or not, and values) is trained to tell the loads apart, and judged on rows that
+it wasn't trained on. Per column it is ablated both ways: the column's terms are taken out of the joint model, and the
+column is kept alone. Columns whose held-out figures tell the loads apart are proposed, and only those are held against
+exact shares; ranges of numbers come from the exact base aggregates.
+
+* The joint model is cross-fitted over two folds. Its rows are compressed to counted cells, and the cells of a pair of
+  loads are dealt out in shards of a bounded size, so a load with a third of all rows is trained in many tasks. Every
+  shard trains on its own cells and scores its own held-out ones; the scores are summed over the shards.
+* A one-hot model of one column is saturated, so its training has a closed form: it tells a row by whether its value is
+  commoner in this load or in the other, among the rows of the other folds. That is counted for whole loads by plain
+  aggregates over exact values, cross-fitted over four folds. A value that no other fold has seen is told by no model; the
+  share of such rows is left open and counts as if it told the loads apart.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -92,15 +97,53 @@ def _has_form(form: str | None, value: Column) -> Column:
     return value.rlike(form)
 
 
-def value_counts(df: DataFrame, spec: TableSpec, only: tuple[str, ...] = ()) -> DataFrame:
-    """load_id, column_name, value, n: how often each value, null included, stands in each column (or in those of `only`)
-    of each load; rows with a null load_id are in no load."""
-    names = list(only or spec.forms)
-    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value")) for c in names])
-    # Two readings of the counts share one exchange: hence inline(), whose plans Spark knows to be equal, unlike those of
-    # unpivot(), and rows in no load are left out here, where every reading has it alike.
-    long = df.where(F.col("load_id").isNotNull()).select("load_id", F.inline(cells))
-    return long.groupBy("load_id", "column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+#: A column of a load has one number: the load's, and in so many lower bits the column's place in the spec.
+_PLACES = 6
+
+
+def _places(spec: TableSpec, names: Iterable[str]) -> Iterator[tuple[Column, Column]]:
+    """The number within a load, and the text, of each of the named columns."""
+    place = {c: i for i, c in enumerate(spec.forms)}
+    assert len(place) <= 1 << _PLACES
+    return ((F.lit(place[c]), F.col(f"`{c}`").cast("string")) for c in names)
+
+
+def _named(spec: TableSpec, at: Column) -> list[Column]:
+    names = F.array(*[F.lit(c) for c in spec.forms])
+    return [F.shiftright(at, _PLACES).cast("int").alias("load_id"), F.get(names, at.bitwiseAND(F.lit((1 << _PLACES) - 1)).cast("int")).alias("column_name")]
+
+
+def _at(place: Column) -> Column:
+    return F.col("load_id").cast("int").cast("long") * F.lit(1 << _PLACES) + place
+
+
+FOLDS = 4
+
+
+def counted_cells(df: DataFrame, spec: TableSpec) -> DataFrame:
+    """load_id, fold, nulls (a bit for each column that is null), v0, v1, ... (the values of columns compared by share), n:
+    how many rows of a load are alike in these; rows with a null load_id are in no load. Equal rows are in one fold.
+    Written once: all of the classifier reads it, and the profiles take the columns compared by share from it."""
+    every = [F.col(f"`{c}`") for c in spec.forms]
+    nulls = sum((F.when(c.isNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, c in enumerate(every)), F.lit(0).cast("long"))
+    values = [F.col(f"`{c}`").cast("string").alias(f"v{i}") for i, c in enumerate(spec.by_share)]
+    rows = df.where(F.col("load_id").isNotNull()).select(
+        F.col("load_id").cast("int"), F.pmod(F.xxhash64(*every), F.lit(FOLDS)).cast("int").alias("fold"), nulls.alias("nulls"), *values
+    )
+    return written(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n")), "cells")
+
+
+def value_counts(df: DataFrame, spec: TableSpec, cells: DataFrame | None = None) -> DataFrame:
+    """at, value, n: how often each value, null included, stands in each column of each load (see _named); rows with a
+    null load_id are in no load. cells: the counted_cells of df, which spare counting columns compared by share anew."""
+    one = lambda p, c: F.struct(_at(p).alias("at"), c.alias("value"))
+    plain = [c for c in spec.forms if cells is None or c not in spec.by_share]
+    long = df.where(F.col("load_id").isNotNull()).select(F.inline(F.array(*[one(p, c) for p, c in _places(spec, plain)])))
+    long = long.withColumn("n", F.lit(1).cast("long"))
+    if cells is not None and spec.by_share:
+        shares = [one(p, F.col(f"v{i}")) for i, (p, _) in enumerate(_places(spec, spec.by_share))]
+        long = long.unionByName(cells.select(F.inline(F.array(*shares)), "n"))
+    return long.groupBy("at", "value").agg(F.sum("n").alias("n"))
 
 
 def profiles(counts: DataFrame, spec: TableSpec, extremes: bool = True) -> DataFrame:
@@ -109,30 +152,27 @@ def profiles(counts: DataFrame, spec: TableSpec, extremes: bool = True) -> DataF
     (largest absolute value of the form, of columns compared by range) and top_values (up to five, by count descending,
     then value ascending). extremes=False leaves out min_value and max_value, which as texts are
     aggregated by sorting. Only a null is null; blank is a value. A load without rows has no profile."""
-    value, n, name = F.col("value"), F.col("n"), F.col("column_name")
+    value, n = F.col("value"), F.col("n")
+    place = {c: F.col("at").bitwiseAND(F.lit((1 << _PLACES) - 1)) == i for i, c in enumerate(spec.forms)}
     bad = F.lit(False)
     for column, form in spec.forms.items():
         if form is not None:
-            bad = F.when(name == column, ~_has_form(form, value)).otherwise(bad)
+            bad = F.when(place[column], ~_has_form(form, value)).otherwise(bad)
     most = F.lit(None).cast("decimal(38,2)")
     for column in spec.by_range:
-        most = F.when((name == column) & _has_form(spec.forms[column], value), F.abs(value.try_cast("decimal(38,2)"))).otherwise(most)
-    # Nulls aren't filtered before the limit, so that both readings of the counts share one exchange.
-    rank = F.row_number().over(
-        Window.partitionBy("load_id", "column_name").orderBy(value.isNull(), n.desc(), value)
-    )
+        most = F.when(place[column] & _has_form(spec.forms[column], value), F.abs(value.try_cast("decimal(38,2)"))).otherwise(most)
+    # Nulls aren't filtered before the limit, so that both readings of the counts share one exchange. One number for a
+    # column of a load, and one for null and count, make the comparisons of the sort short.
+    last = F.when(value.isNull(), F.lit(1).cast("long")).otherwise(-n)
+    rank = F.row_number().over(Window.partitionBy("at").orderBy(last, value))
     top = (
         counts.withColumn("r", rank)
         .where(F.col("r") <= 5)
-        .groupBy("load_id", "column_name")
+        .groupBy("at")
         .agg(F.collect_list(F.when(value.isNotNull(), F.struct("r", "value", "n"))).alias("top"))
-        .select(
-            "load_id",
-            "column_name",
-            F.transform(F.array_sort("top"), lambda x: F.struct(x["value"].alias("value"), x["n"].alias("n"))).alias("top_values"),
-        )
+        .select("at", F.transform(F.array_sort("top"), lambda x: F.struct(x["value"].alias("value"), x["n"].alias("n"))).alias("top_values"))
     )
-    base = counts.groupBy("load_id", "column_name").agg(
+    base = counts.groupBy("at").agg(
         F.sum("n").alias("row_count"),
         F.coalesce(F.sum(F.when(value.isNull(), n)), F.lit(0)).alias("null_count"),
         F.count("value").alias("distinct_count"),
@@ -141,198 +181,208 @@ def profiles(counts: DataFrame, spec: TableSpec, extremes: bool = True) -> DataF
         F.max(most).alias("most_abs"),
     )
     # Both have the same keys. A full join lets no filter on them sink into one side alone, which would part the exchange.
-    return base.join(top, ["load_id", "column_name"], "full")
+    both = base.join(top, "at", "full")
+    return both.select(*_named(spec, F.col("at")), *[c for c in both.columns if c != "at"])
 
 
 # --- the classifier -------------------------------------------------------------------------------------------------
 
-WIDTH, FOLDS, ROUNDS, STEP, RIDGE, SMOOTH = 256, 2, 6, 0.4, 1.0, 0.5
-NULL = 0
+WIDTH, ROUNDS, STEP, RIDGE = 256, 6, 0.4, 1.0
 
-EVIDENCE = (
-    "load_id int, column_name string, discrimination double, ablated double, alone double, null_shift double, "
-    "value_shift double, separated boolean"
-)
+#: Cells of a shard, and cells that a task trains at a time.
+SHARD, BATCH = 100_000, 200_000
 
 
-def _slots(spec: TableSpec) -> list[tuple[str, Column]]:
-    """A feature slot each: its column, and which of the slot's WIDTH cells a row falls in; NULL for a null."""
-    out = []
-    for column in spec.forms:
-        c = F.col(f"`{column}`").cast("string")
-        cells = [F.lit(1)]
-        if column in spec.by_share:
-            cells = [F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(WIDTH - 1)).cast("int") + 1 for seed in (1, 2)]
-        elif column in spec.by_range:
-            size = F.abs(c.try_cast("double"))
-            # 2^-7 and less, and everything else in powers of two: the top cell of a load holds its largest value.
-            power = F.when(size < 0.01, 2).otherwise(F.least(F.lit(WIDTH - 1), F.floor(F.log2(size)).cast("int") + 10))
-            cells = [F.when(_has_form(spec.forms[column], c), power).otherwise(1)]
-        out += [(column, F.when(c.isNull(), NULL).otherwise(cell)) for cell in cells]
-    return out
-
-
-def _discrimination(score: np.ndarray, y: np.ndarray, w: np.ndarray, group: np.ndarray, groups: int, of: np.ndarray) -> np.ndarray:
-    """Youden's J per group of the rule score > 0: share of the load's rows told right, less that of the other told wrong."""
-    hit = np.bincount(group, w * (score > 0) * y, groups) / np.maximum(of[:, 1], 1)
-    return hit - np.bincount(group, w * (score > 0) * (1 - y), groups) / np.maximum(of[:, 0], 1)
-
-
-def _two_sample(cells: pd.DataFrame, columns: list[str], ranged: set[str]) -> pd.DataFrame:
-    """The evidence for each load and column, from counted cells (load_id, y, fold, n, s0, s1, ...) of whole pairs."""
-    loads, group = np.unique(cells["load_id"].to_numpy(), return_inverse=True)
-    y, fold, n = (cells[c].to_numpy(float) for c in ("y", "fold", "n"))
-    slots, groups = len(columns), len(loads)
+def _hits(score: np.ndarray, y: np.ndarray, n: np.ndarray, group: np.ndarray, groups: int) -> list[np.ndarray]:
+    """Of each group, the rows of the load and of the other one that the rule score > 0 takes for the load's."""
+    yes = n * (score > 0)
+    return [np.bincount(group, yes * y, groups), np.bincount(group, yes * (1 - y), groups)]
+
+
+def _trained(cells: pd.DataFrame, columns: list[str], shares: list[str]) -> pd.DataFrame:
+    """Trains and scores the joint model of each shard of cells (shard, y, fold, nulls, c0, c1, ..., n): shard, place of the
+    column, and the rows taken for the load's, by the whole model (full1, full0) and without the column (less1, less0)."""
+    shards, group = np.unique(cells["shard"].to_numpy(), return_inverse=True)
+    groups = len(shards)
+    y, n = cells["y"].to_numpy(float), cells["n"].to_numpy(float)
+    fold, nulls = cells["fold"].to_numpy() & 1, cells["nulls"].to_numpy()
     of = np.stack([np.bincount(group, n * (y == k), groups) for k in (0, 1)], 1)
-    balance = n / np.maximum(of[group, y.astype(int)], 1)  # both loads weigh the same
-    unit = of.min(1)[group]
-    at = [(group * slots + s) * WIDTH + cells[f"s{s}"].to_numpy() for s in range(slots)]
-    size = groups * slots * WIDTH
-
-    # The joint model: of each fold trained on the others, scored on the fold itself.
-    terms = np.zeros((slots, len(n)))
-    bias = np.zeros(len(n))
-    for k in range(FOLDS):
-        train, test = fold != k, fold == k
-        w, b = np.zeros(size), np.zeros(groups)
-        mine = [a[train] for a in at]
-        g, yt, wt = group[train], y[train], (balance * unit)[train]
+    weight = n / np.maximum(of[group, y.astype(int)], 1) * of.min(1)[group]  # both loads weigh the same
+    # Of each column: the cells that have its feature, and where the weight of the feature stands.
+    slots = []
+    for i, c in enumerate(columns):
+        if c in shares:
+            slots.append((np.arange(len(n)), group * WIDTH + cells[f"c{shares.index(c)}"].to_numpy(), groups * WIDTH))
+        else:
+            rows = np.flatnonzero(nulls >> i & 1)
+            slots.append((rows, group[rows], groups))
+
+    terms, bias = np.zeros((len(slots), len(n))), np.zeros(len(n))
+    for k in (0, 1):
+        train = fold != k
+        number = np.cumsum(train) - 1
+        g, yt, wt = group[train], y[train], weight[train]
+        mine = [(number[rows[train[rows]]], at[train[rows]]) for rows, at, _ in slots]
+        ws, b = [np.zeros(size) for _, _, size in slots], np.zeros(groups)
         for _ in range(ROUNDS):
-            eta = b[g] + sum(w[a] for a in mine)
+            eta = b[g]
+            for (rows, at), w in zip(mine, ws, strict=True):
+                eta[rows] += w[at]
             p = 1 / (1 + np.exp(-np.clip(eta, -30, 30)))
             r, h = wt * (yt - p), wt * p * (1 - p)
-            for a in mine:
-                grad, curve = np.bincount(a, r, size), np.bincount(a, h, size)
-                w += STEP * (grad - RIDGE * w) / (curve + RIDGE)
+            for (rows, at), w in zip(mine, ws, strict=True):
+                if len(rows):
+                    grad, curve = np.bincount(at, r[rows], len(w)), np.bincount(at, h[rows], len(w))
+                    w += STEP * (grad - RIDGE * w) / (curve + RIDGE)
             b += STEP * np.bincount(g, r, groups) / (np.bincount(g, h, groups) + RIDGE)
-        bias[test] = b[group[test]]
-        for s in range(slots):
-            terms[s, test] = w[at[s][test]]
+        bias[~train] = b[group[~train]]
+        for term, w, (rows, at, _) in zip(terms, ws, slots, strict=True):
+            held = ~train[rows]
+            term[rows[held]] = w[at[held]]
     full = bias + terms.sum(0)
-    joint = _discrimination(full, y, n, group, groups, of)
-
-    # One column kept alone: log-odds of the loads in each cell.
+    joint = _hits(full, y, n, group, groups)
     out = []
-    for column in dict.fromkeys(columns):
-        own = [s for s, c in enumerate(columns) if c == column]
-        ablated = joint - _discrimination(full - terms[own].sum(0), y, n, group, groups, of)
-        alone = np.full(groups, -1.0)
-        nulls, values = np.zeros(groups), np.zeros(groups)
-        separated = np.zeros(groups, bool)
-        for s in own:
-            flat = group * WIDTH + cells[f"s{s}"].to_numpy()
-            n1, n0 = (np.bincount(flat, n * (y == k), groups * WIDTH).reshape(groups, WIDTH) for k in (1, 0))
-            held = np.zeros(len(n))
-            for k in range(FOLDS):
-                t = fold != k
-                f1, f0 = (np.bincount(flat[t], n[t] * (y[t] == c), groups * WIDTH).reshape(groups, WIDTH) for c in (1, 0))
-                odds = _log_odds(f1, f0)
-                held[~t] = odds.ravel()[flat[~t]]
-            alone = np.maximum(alone, _discrimination(held, y, n, group, groups, of))
-            nulls = np.maximum(nulls, np.abs(n1[:, NULL] / np.maximum(of[:, 1], 1) - n0[:, NULL] / np.maximum(of[:, 0], 1)))
-            m1, m0 = n1[:, 1:], n0[:, 1:]
-            t1, t0 = m1.sum(1), m0.sum(1)
-            told = _log_odds(m1, m0) > 0
-            apparent = (m1 * told).sum(1) / np.maximum(t1, 1) - (m0 * told).sum(1) / np.maximum(t0, 1)
-            values = np.maximum(values, np.where((t1 > 0) & (t0 > 0), apparent, 0))
-            if column in ranged:
-                top = WIDTH - 1 - np.argmax((m1 + m0)[:, ::-1] > 0, 1) - 1
-                rows = np.arange(groups)
-                separated |= (m1[rows, top] == 0) != (m0[rows, top] == 0)
-        out.append(
-            pd.DataFrame(
-                {
-                    "load_id": loads,
-                    "column_name": column,
-                    "discrimination": joint,
-                    "ablated": ablated,
-                    "alone": alone,
-                    "null_shift": nulls,
-                    "value_shift": values,
-                    "separated": separated,
-                }
-            )
-        )
-    both = (of > 0).all(1)
-    return pd.concat([x[both] for x in out])
+    for i, term in enumerate(terms):
+        less = _hits(full - term, y, n, group, groups) if term.any() else joint
+        out.append(pd.DataFrame(dict(zip(("shard", "place", "full1", "full0", "less1", "less0"), (shards, i, *joint, *less), strict=True))))
+    return pd.concat(out)
 
 
-def _log_odds(n1: np.ndarray, n0: np.ndarray) -> np.ndarray:
-    """Coefficients of a saturated one-hot logistic regression with balanced classes; SMOOTH shrinks small cells."""
-    t1, t0 = np.maximum(n1.sum(1, keepdims=True), 1), np.maximum(n0.sum(1, keepdims=True), 1)
-    unit = np.minimum(t1, t0)
-    return np.log((n1 / t1 * unit + SMOOTH) / (n0 / t0 * unit + SMOOTH))
+def _whole_shards(columns: list[str], shares: list[str], batch: int):
+    def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Cells come sorted by shard; the last shard of what is at hand may go on."""
+        held: list[pd.DataFrame] = []
+        rows = 0
+        for pdf in batches:
+            held.append(pdf)
+            rows += len(pdf)
+            if rows >= batch:
+                pdf = pd.concat(held)
+                going = pdf["shard"] == pdf["shard"].iloc[-1]
+                if not going.all():
+                    yield _trained(pdf[~going], columns, shares)
+                held = [pdf[going]]
+                rows = len(held[0])
+        if rows:
+            yield _trained(pd.concat(held), columns, shares)
 
+    return train
 
-def two_sample_test(df: DataFrame, spec: TableSpec, batch_cells: int = 200_000) -> DataFrame:
-    """The classifier's evidence for each load that has a load numbered one lower, and each column (EVIDENCE):
 
-    discrimination (Youden's J of the joint model on held-out rows), ablated (how much of it goes with the column),
-    alone (J of the column alone on held-out rows), null_shift and value_shift (J of the saturated models of null or
-    not, and of the non-null values, over all rows), separated (the highest magnitude occurs in one load only).
-    Rows with a null load_id are in no load.
-    """
-    slots = _slots(spec)
-    names, columns, ranged = [f"s{i}" for i in range(len(slots))], [c for c, _ in slots], set(spec.by_range)
-    fold = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in spec.forms]), F.lit(FOLDS)).alias("fold")
-    # Seven cells of 8 bits a long: few and short columns to group and to move.
-    longs = [
-        sum((c.cast("long") * F.lit(1 << 8 * j) for j, (_, c) in enumerate(slots[i : i + 7])), F.lit(0).cast("long")).alias(f"f{i // 7}")
-        for i in range(0, len(slots), 7)
-    ]
-    packed, width = [f"f{i}" for i in range(len(longs))], len(slots)
-    cells = (
-        df.where(F.col("load_id").isNotNull())
-        .select(F.col("load_id").cast("int"), fold, *longs)
-        .groupBy("load_id", "fold", *packed)
-        .agg(F.count(F.lit(1)).alias("n"))
+def _sided(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Each row twice: for its own load's pair (y = 1), and for that of the load numbered one higher (y = 0)."""
+    pairs = F.array(F.struct("load_id", F.lit(1).alias("y")), F.struct((F.col("load_id") + 1).alias("load_id"), F.lit(0).alias("y")))
+    return rows.select(F.explode(pairs).alias("p"), *columns).select("p.load_id", "p.y", *columns)
+
+
+def _by_side_and_fold(name: str, value: str) -> list[Column]:
+    """name1 and name0: arrays of the sums of value in each fold, of the load and of the other one."""
+    of = lambda y, k: F.coalesce(F.sum(F.when((F.col("y") == y) & (F.col("fold") == k), F.col(value))), F.lit(0))
+    return [F.array(*[of(y, k) for k in range(FOLDS)]).alias(f"{name}{y}") for y in (1, 0)]
+
+
+def _total(c: Column) -> Column:
+    return sum((c[k] for k in range(1, FOLDS)), c[0])
+
+
+def _folds(cells: DataFrame, spec: TableSpec) -> DataFrame:
+    """load_id, place, r1, r0 (rows in each fold of the load and of the other one) and z1, z0 (those with a null), of each
+    column of each pair of loads that both have rows."""
+    bit = lambda i: F.sum(F.when(F.col("nulls").bitwiseAND(F.lit(1 << i)) != 0, F.col("n")).otherwise(0))
+    small = cells.groupBy("load_id", "fold").agg(F.sum("n").alias("r"), *[bit(i).alias(f"z{i}") for i in range(len(spec.forms))])
+    listed = F.array(*[F.struct(F.lit(i).alias("place"), F.col(f"z{i}").alias("z")) for i in range(len(spec.forms))])
+    sides = _sided(small.select("load_id", "fold", "r", F.inline(listed)), ["fold", "place", "r", "z"])
+    pairs = sides.groupBy("load_id", "place").agg(*_by_side_and_fold("r", "r"), *_by_side_and_fold("z", "z"))
+    return pairs.where((_total(F.col("r1")) > 0) & (_total(F.col("r0")) > 0))
+
+
+def _null_alone() -> Column:
+    """Held-out discrimination of the saturated model of null or not."""
+    r1, r0, z1, z0 = (F.col(c) for c in ("r1", "r0", "z1", "z0"))
+    j = F.lit(0.0)
+    for k in range(FOLDS):
+        commoner = (_total(z1) - z1[k]).cast("double") * (_total(r0) - r0[k]) - (_total(z0) - z0[k]).cast("double") * (_total(r1) - r1[k])
+        null = z1[k] / _total(r1) - z0[k] / _total(r0)
+        rest = (r1[k] - z1[k]) / _total(r1) - (r0[k] - z0[k]) / _total(r0)
+        j = j + F.when(commoner > 0, null).when(commoner < 0, rest).otherwise(0.0)
+    return j
+
+
+def _values_alone(cells: DataFrame, folds: DataFrame, spec: TableSpec) -> DataFrame:
+    """load_id, place of columns compared by share: value_alone (held-out discrimination of the saturated model of the
+    values of non-null rows), open (share of the load's rows whose value no other fold has seen) and apart (exactly: the
+    sum of differences of shares, times both numbers of rows)."""
+    place = {c: i for i, c in enumerate(spec.forms)}
+    listed = F.array(*[F.struct(F.lit(place[c]).alias("place"), F.col(f"v{i}").alias("value")) for i, c in enumerate(spec.by_share)])
+    long = cells.select("load_id", "fold", "n", F.inline(listed)).where(F.col("value").isNotNull())
+    counted = _sided(long, ["fold", "n", "place", "value"]).groupBy("load_id", "place", "value").agg(*_by_side_and_fold("n", "n"))
+    t = folds.select("load_id", "place", *[F.zip_with(f"r{y}", f"z{y}", lambda r, z: r - z).alias(f"t{y}") for y in (1, 0)])
+    n1, n0, t1, t0 = (F.col(c) for c in ("n1", "n0", "t1", "t0"))
+    alone, unseen = F.lit(0.0), F.lit(0).cast("long")
+    for k in range(FOLDS):
+        one, other = _total(n1) - n1[k], _total(n0) - n0[k]
+        commoner = one.cast("double") * (_total(t0) - t0[k]) > other.cast("double") * (_total(t1) - t1[k])
+        alone = alone + F.when(commoner, n1[k] / _total(t1) - n0[k] / _total(t0)).otherwise(0.0)
+        unseen = unseen + F.when((one == 0) & (other == 0), n1[k]).otherwise(0)
+    whole = lambda a, b: (_total(a).cast("decimal(19,0)") * _total(b).cast("decimal(19,0)")).cast("decimal(38,0)")
+    return (
+        counted.join(t.where((_total(t1) > 0) & (_total(t0) > 0)), ["load_id", "place"])
+        .groupBy("load_id", "place")
+        .agg(
+            F.sum(alone).alias("value_alone"),
+            F.sum(unseen / _total(t1)).alias("open"),
+            F.sum(F.abs(whole(n1, t0) - whole(n0, t1))).cast("decimal(38,0)").alias("apart"),
+        )
     )
-    pairs = cells.select(
-        F.explode(F.array(F.struct("load_id", F.lit(1).alias("y")), F.struct((F.col("load_id") + 1).alias("load_id"), F.lit(0).alias("y")))).alias("p"),
-        "fold", "n", *packed,
-    ).select("p.load_id", "p.y", "fold", "n", *packed)
-
-    def unpacked(pdf: pd.DataFrame) -> pd.DataFrame:
-        for i in range(width):
-            pdf[names[i]] = (pdf[packed[i // 7]].to_numpy() >> (8 * (i % 7))) & 255
-        return pdf
-
-    def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Whole pairs at a time: rows come sorted by load_id, the last load of what is at hand may go on."""
-        held: list[pd.DataFrame] = []
-        rows = 0
-        for batch in batches:
-            held.append(batch)
-            rows += len(batch)
-            if rows >= batch_cells:
-                pdf = pd.concat(held)
-                last = pdf["load_id"].iloc[-1]
-                done, rest = pdf[pdf["load_id"] != last], pdf[pdf["load_id"] == last]
-                if len(done):
-                    yield _two_sample(unpacked(done.copy()), columns, ranged)
-                held, rows = [rest], len(rest)
-        if held and rows:
-            yield _two_sample(unpacked(pd.concat(held)), columns, ranged)
 
-    return pairs.repartition("load_id").sortWithinPartitions("load_id").mapInPandas(test, EVIDENCE)
+
+def two_sample_test(cells: DataFrame, spec: TableSpec, shard: int = SHARD, batch: int = BATCH) -> DataFrame:
+    """The classifier's evidence, from counted_cells, for each load that has a load numbered one lower, and each column:
+
+    discrimination (Youden's J of the joint model on held-out rows: the share of the load's rows told right, less that of
+    the other's told wrong), ablated (how much of it goes with the column), null_alone and value_alone (held-out J of the
+    column alone: of null or not, and of its values among non-null rows), open (see _values_alone) and apart (exact, see
+    there). The last three are null for columns not compared by share and where a load has nulls only. shard, batch: how
+    many cells are trained together, and at a time.
+    """
+    columns, shares = list(spec.forms), list(spec.by_share)
+    folds = _folds(cells, spec)
+    pairs = _sided(cells.groupBy("load_id").agg(F.count(F.lit(1)).alias("many")), ["many"]).groupBy("load_id")
+    pairs = pairs.agg(F.ceil(F.sum("many") / shard).cast("int").alias("shards"), F.count(F.lit(1)).alias("loads")).where("loads = 2").select("load_id", "shards")
+    codes = [F.when(F.col(f"v{i}").isNull(), 0).otherwise(F.pmod(F.xxhash64(f"v{i}"), F.lit(WIDTH - 1)).cast("int") + 1).alias(f"c{i}") for i in range(len(shares))]
+    coded = _sided(cells.select("load_id", "fold", "nulls", *codes, "n"), ["fold", "nulls", *[f"c{i}" for i in range(len(shares))], "n"])
+    part = F.pmod(F.xxhash64("fold", "nulls", *[f"c{i}" for i in range(len(shares))]), F.col("shards"))
+    trained = (
+        coded.join(pairs, "load_id")
+        .select((F.col("load_id").cast("long") * F.lit(1 << 31) + part).alias("shard"), "y", "fold", "nulls", *[f"c{i}" for i in range(len(shares))], "n")
+        .repartition("shard")
+        .sortWithinPartitions("shard")
+        .mapInPandas(_whole_shards(columns, shares, batch), "shard long, place int, full1 double, full0 double, less1 double, less0 double")
+        .groupBy(F.shiftright("shard", 31).cast("int").alias("load_id"), "place")
+        .agg(*[F.sum(c).alias(c) for c in ("full1", "full0", "less1", "less0")])
+    )
+    joint = F.col("full1") / _total(F.col("r1")) - F.col("full0") / _total(F.col("r0"))
+    less = F.col("less1") / _total(F.col("r1")) - F.col("less0") / _total(F.col("r0"))
+    found = folds.join(trained, ["load_id", "place"]).select("load_id", "place", joint.alias("discrimination"), (joint - less).alias("ablated"), _null_alone().alias("null_alone"))
+    if shares:
+        found = found.join(_values_alone(cells, folds, spec), ["load_id", "place"], "left")
+    else:
+        found = found.withColumns({c: F.lit(None).cast(t) for c, t in (("value_alone", "double"), ("open", "double"), ("apart", "decimal(38,0)"))})
+    names = F.array(*[F.lit(c) for c in columns])
+    return found.select("load_id", F.get(names, F.col("place")).alias("column_name"), "discrimination", "ablated", "null_alone", "value_alone", "open", "apart")
 
 
 def proposals(evidence: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Of the evidence, what the classifier proposes as changed: load_id, column_name, kind.
 
     A column is proposed by ablation either way: when taking it out costs the joint model, or keeping it alone still
-    tells the loads apart, a share `propose` of the limit or more on held-out rows, or over all rows. Held-out figures
-    alone are noisy in small loads; the saturated figures over all rows are the true shift, but for values that share a
-    cell: of columns of more values than cells a large shift may go unproposed, so findings() takes the exact shares of
-    every pair as a further proposal. An exact check decides in the end.
+    tells the loads apart, a share `propose` of the limit or more on held-out rows. Rows whose value no other fold has
+    seen count as told apart, so no shift of columns of many rare values is lost. An exact check decides in the end.
     """
-    kept = F.greatest("ablated", "alone")
-    tells = lambda own, limit: (F.col(own) >= limit * limits.propose) | (kept >= limit * limits.propose)
-    null = F.when(tells("null_shift", limits.null_shift), "null_shift")
-    value = F.when(tells("value_shift", limits.value_shift), "value_shift")
-    far = F.when(F.col("separated"), "range_shift")
-    kinds = F.filter(F.array(null, value, far), lambda x: x.isNotNull())
-    return evidence.select("load_id", "column_name", F.explode(kinds).alias("kind"))
+    null = F.greatest("ablated", "null_alone") >= limits.null_shift * limits.propose
+    value = F.greatest(F.col("ablated"), F.col("value_alone") + F.col("open")) >= limits.value_shift * limits.propose
+    kinds = F.array(F.when(null, "null_shift"), F.when(F.col("value_alone").isNotNull() & value, "value_shift"))
+    return evidence.select("load_id", "column_name", "apart", F.explode(F.filter(kinds, lambda x: x.isNotNull())).alias("kind"))
 
 
 def findings(df: DataFrame, recorded: DataFrame, spec: TableSpec, limits: Limits = Limits()) -> DataFrame:
@@ -346,8 +396,9 @@ def findings(df: DataFrame, recorded: DataFrame, spec: TableSpec, limits: Limits
     the other's, either way). Only columns in recorded are reported; a recorded column of a load without rows has counts
     of nought. A recorded null equals nothing. Empty tables yield no shifts.
     """
+    cells = counted_cells(df, spec)
     # Written once, a row for each column of each load: it is read for the record and for either load of a pair.
-    found = written(profiles(value_counts(df, spec), spec, extremes=False), "profiles")
+    found = written(profiles(value_counts(df, spec, cells), spec, extremes=False), "profiles")
     known = recorded.select(
         F.col("load_id").cast("int").alias("load_id"),
         "column_name",
@@ -367,43 +418,22 @@ def findings(df: DataFrame, recorded: DataFrame, spec: TableSpec, limits: Limits
     )
     base = checked.select("load_id", "column_name", F.explode(F.filter(wrong, lambda x: x.isNotNull())).alias("finding"))
 
-    proposed = proposals(two_sample_test(df, spec), limits).join(known.select("load_id", "column_name").distinct(), ["load_id", "column_name"])
     large = found.where(F.col("row_count") >= limits.rows)
     shape = ["row_count", "null_count", "most_abs"]
     this = large.select("load_id", "column_name", *shape)
     other = large.select((F.col("load_id") + 1).alias("load_id"), "column_name", *[F.col(c).alias(f"o_{c}") for c in shape])
-    paired = this.join(other, ["load_id", "column_name"])
-    pairs = proposed.join(paired, ["load_id", "column_name"])
-    # Shares are compared crosswise in whole numbers, so a difference of exactly the limit is never lost to rounding.
-    whole = lambda a, b: (F.col(a) * F.col(b)).cast("decimal(38,0)")
-    limit = lambda x: F.lit(str(x)).cast("decimal(10,4)")
-    apart = F.abs(whole("null_count", "o_row_count") - whole("o_null_count", "row_count")) > limit(limits.null_shift) * whole("row_count", "o_row_count")
+    reported = known.select("load_id", "column_name").distinct()
+    pairs = written(this.join(other, ["load_id", "column_name"]).join(reported, ["load_id", "column_name"]), "pairs")
     times = F.lit(limits.range_shift)
     far = (F.col("most_abs") > F.col("o_most_abs") * times) | (F.col("o_most_abs") > F.col("most_abs") * times)
-    simple = pairs.where(((F.col("kind") == "null_shift") & apart) | ((F.col("kind") == "range_shift") & far)).select(
-        "load_id", "column_name", F.col("kind").alias("finding")
-    )
-    if not spec.by_share:
-        return base.unionByName(simple)
-    shared = value_counts(df, spec, spec.by_share).where(F.col("value").isNotNull())
-    sided = shared.select(
-        F.explode(F.array(F.struct("load_id", F.col("n").alias("n1"), F.lit(0).cast("long").alias("n0")), F.struct((F.col("load_id") + 1).alias("load_id"), F.lit(0).cast("long").alias("n1"), F.col("n").alias("n0")))).alias("p"),
-        "column_name", "value",
-    ).select("p.load_id", "p.n1", "p.n0", "column_name", "value")
-    cells = sided.groupBy("load_id", "column_name", "value").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-    # Columns of many values share the classifier's cells, where a shift may cancel out: every pair is held against its shares.
-    recorded_shares = known.where(F.col("column_name").isin(*spec.by_share)).select("load_id", "column_name").distinct()
-    both = paired.join(recorded_shares, ["load_id", "column_name"]).where("row_count > null_count and o_row_count > o_null_count").select(
-        "load_id",
-        "column_name",
-        (F.col("row_count") - F.col("null_count")).alias("t1"),
-        (F.col("o_row_count") - F.col("o_null_count")).alias("t0"),
-    )
-    shifted = (
-        cells.join(both, ["load_id", "column_name"])
-        .groupBy("load_id", "column_name", "t1", "t0")
-        .agg(F.sum(F.abs(whole("n1", "t0") - whole("n0", "t1"))).alias("apart"))
-        .where(F.col("apart") > limit(2 * limits.value_shift) * whole("t1", "t0"))
-        .select("load_id", "column_name", F.lit("value_shift").alias("finding"))
+    ranges = pairs.where(far).select("load_id", "column_name", F.lit("range_shift").alias("finding"))
+    # Shares are compared crosswise in whole numbers, so a difference of exactly the limit is never lost to rounding.
+    whole = lambda a, b: (a.cast("decimal(19,0)") * b.cast("decimal(19,0)")).cast("decimal(38,0)")
+    limit = lambda x: F.lit(str(x)).cast("decimal(10,4)")
+    rows, o_rows, nulls, o_nulls = (F.col(c) for c in ("row_count", "o_row_count", "null_count", "o_null_count"))
+    apart = F.when(F.col("kind") == "null_shift", F.abs(whole(nulls, o_rows) - whole(o_nulls, rows)) > limit(limits.null_shift) * whole(rows, o_rows)).otherwise(
+        F.col("apart") > limit(2 * limits.value_shift) * whole(rows - nulls, o_rows - o_nulls)
     )
-    return base.unionByName(simple).unionByName(shifted)
+    proposed = proposals(two_sample_test(cells, spec), limits)
+    shifts = proposed.join(pairs, ["load_id", "column_name"]).where(apart).select("load_id", "column_name", F.col("kind").alias("finding"))
+    return base.unionByName(ranges).unionByName(shifts)

@@ -9,7 +9,7 @@ from paritas.functions.text import day, key_form
 from paritas.operators.changes import current_state
 from paritas.operators.differences import Field, differences
 from paritas.operators.orphans import orphan_counts, orphans
-from paritas.operators.quality import LEGACY, findings, profiles, two_sample_test, value_counts
+from paritas.operators.quality import LEGACY, counted_cells, findings, profiles, two_sample_test, value_counts
 from paritas.operators.schema_drift import Drift
 from paritas.sources.tables import table
 
@@ -57,7 +57,7 @@ def p2_profiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_evidence(spark: SparkSession, d: str) -> DataFrame:
-    return _each_load(spark, d, two_sample_test)
+    return _each_load(spark, d, lambda df, spec: two_sample_test(counted_cells(df, spec), spec))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

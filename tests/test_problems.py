@@ -9,7 +9,8 @@ from paritas.functions.text import amount, key_form, normalize_status, trimmed
 from paritas.operators.changes import _summed, current_state, image
 from paritas.operators.differences import Field, differences
 from paritas.operators.orphans import orphan_counts, orphans
-from paritas.operators.quality import Limits, TableSpec, findings, profiles, proposals, two_sample_test, value_counts
+from paritas.operators import quality
+from paritas.operators.quality import Limits, TableSpec, counted_cells, findings, profiles, proposals, two_sample_test, value_counts
 from paritas.queries import problems
 from paritas.queries.problems_sql import SQL
 from pyspark.sql import functions as F
@@ -122,12 +123,36 @@ def test_findings_of_loads(spark):
 
 
 def test_classifier_tells_changed_columns(spark):
-    evidence = {(r["load_id"], r["column_name"]): r for r in two_sample_test(loads(spark), SPEC).collect()}
+    found = two_sample_test(counted_cells(loads(spark), SPEC), SPEC)
+    evidence = {(r["load_id"], r["column_name"]): r for r in found.collect()}
     assert {k[0] for k in evidence} == {2, 3, 6}
-    assert evidence[3, "kind"]["discrimination"] > 0.4 and evidence[3, "kind"]["ablated"] > 0.3 and evidence[3, "kind"]["alone"] > 0.3
-    assert abs(evidence[3, "id"]["ablated"]) < 0.1 and evidence[3, "id"]["null_shift"] == 0
-    proposed = rows(proposals(two_sample_test(loads(spark), SPEC)))
-    assert {(3, "kind", "value_shift"), (2, "amount", "range_shift"), (2, "kind", "null_shift")} <= proposed
+    assert evidence[3, "kind"]["discrimination"] > 0.4 and evidence[3, "kind"]["ablated"] > 0.3 and evidence[3, "kind"]["value_alone"] > 0.3
+    assert abs(evidence[3, "id"]["ablated"]) < 0.1 and evidence[3, "id"]["null_alone"] == 0 and evidence[3, "id"]["value_alone"] is None
+    assert evidence[2, "kind"]["null_alone"] > 0.05 and abs(evidence[2, "kind"]["value_alone"]) < 0.1
+    proposed = rows(proposals(found).drop("apart"))
+    assert {(3, "kind", "value_shift"), (2, "kind", "null_shift"), (3, "kind", "null_shift")} <= proposed
+    assert not {x for x in proposed if x[1] in ("id", "amount", "day") and x[0] < 6}
+
+
+def test_shards_of_one_pair_tell_as_much_as_the_whole(spark):
+    """A pair dealt out in many shards, as that of a load with a third of all rows is."""
+    cells = counted_cells(loads(spark).withColumn("kind", F.concat("kind", F.xxhash64("amount") % 3)), SPEC)
+    whole, parts = (two_sample_test(cells, SPEC, shard=n, batch=30).where("load_id = 3").collect() for n in (10**6, 150))
+    assert [r["column_name"] for r in whole] == [r["column_name"] for r in parts]
+    kinds = [next(r for r in x if r["column_name"] == "kind") for x in (whole, parts)]
+    assert all(k["ablated"] > 0.2 for k in kinds) and kinds[0]["value_alone"] == pytest.approx(kinds[1]["value_alone"])
+
+
+def test_without_the_classifier_no_shift_is_found(spark, monkeypatch):
+    """A blinded classifier, whose held-out figures are those of guessing, loses the shifts of nulls and values."""
+    df = loads(spark)
+    right = profiles(value_counts(df, SPEC), SPEC).where("load_id is not null")
+    seen = {x for x in rows(findings(df, right, SPEC)) if x[2] in ("null_shift", "value_shift")}
+    assert len(seen) == 3
+    test = quality.two_sample_test
+    blind = {c: F.lit(0.0) for c in ("discrimination", "ablated", "null_alone", "value_alone", "open")}
+    monkeypatch.setattr(quality, "two_sample_test", lambda *x: test(*x).withColumns(blind))
+    assert not {x for x in rows(findings(df, right, SPEC)) if x[2] in ("null_shift", "value_shift")}
 
 
 def test_classifier_proposes_every_shift_the_exact_check_finds(spark):
@@ -143,7 +168,7 @@ def test_classifier_proposes_every_shift_the_exact_check_finds(spark):
             data.append((None, None, None if rng.random() < nulls else rng.choices("abcdef", weights)[0], None, load, ""))
         shares[load] = Counter(r[2] for r in data if r[4] == load)
     df = spark.createDataFrame(data, "id string, amount string, kind string, day string, load_id int, n string")
-    proposed = rows(proposals(two_sample_test(df, SPEC, batch_cells=50), Limits()))
+    proposed = rows(proposals(two_sample_test(counted_cells(df, SPEC), SPEC, shard=100, batch=50), Limits()).drop("apart"))
     for load in range(2, 25):
         a, b = shares[load], shares[load - 1]
         if abs(a[None] - b[None]) / 220 > 0.06:
