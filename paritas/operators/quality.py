@@ -14,8 +14,8 @@ exact shares; ranges of numbers come from the exact base aggregates.
   shard trains on its own cells and scores its own held-out ones; the scores are summed over the shards.
 * A one-hot model of one column is saturated, so its training has a closed form: it tells a row by whether its value is
   commoner in this load or in the other, among the rows of the other folds. That is counted for whole loads by plain
-  aggregates over exact values, cross-fitted over four folds. A value that no other fold has seen is told by no model; the
-  share of such rows is left open and counts as if it told the loads apart.
+  aggregates over exact values, cross-fitted over four folds. A value that no other fold has seen is told by no model, and
+  few rows tell little: that share of rows and a standard error are left open and count as if they told the loads apart.
 """
 
 from __future__ import annotations
@@ -122,13 +122,17 @@ FOLDS = 4
 
 def counted_cells(df: DataFrame, spec: TableSpec) -> DataFrame:
     """load_id, fold, nulls (a bit for each column that is null), v0, v1, ... (the values of columns compared by share), n:
-    how many rows of a load are alike in these; rows with a null load_id are in no load. Equal rows are in one fold.
+    how many rows of a load are alike in these; rows with a null load_id are in no load. Rows are dealt to folds one by one,
+    by a hash of the row and its number, as of a table of few different rows equal ones can't all be in one fold.
     Written once: all of the classifier reads it, and the profiles take the columns compared by share from it."""
     every = [F.col(f"`{c}`") for c in spec.forms]
     nulls = sum((F.when(c.isNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, c in enumerate(every)), F.lit(0).cast("long"))
     values = [F.col(f"`{c}`").cast("string").alias(f"v{i}") for i, c in enumerate(spec.by_share)]
     rows = df.where(F.col("load_id").isNotNull()).select(
-        F.col("load_id").cast("int"), F.pmod(F.xxhash64(*every), F.lit(FOLDS)).cast("int").alias("fold"), nulls.alias("nulls"), *values
+        F.col("load_id").cast("int"),
+        F.pmod(F.xxhash64(*every, F.monotonically_increasing_id()), F.lit(FOLDS)).cast("int").alias("fold"),
+        nulls.alias("nulls"),
+        *values,
     )
     return written(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n")), "cells")
 
@@ -296,21 +300,26 @@ def _folds(cells: DataFrame, spec: TableSpec) -> DataFrame:
     return pairs.where((_total(F.col("r1")) > 0) & (_total(F.col("r0")) > 0))
 
 
-def _null_alone() -> Column:
-    """Held-out discrimination of the saturated model of null or not."""
+def _null_alone() -> tuple[Column, Column]:
+    """Held-out discrimination of the saturated model of null or not; and the share of rows whose null no other fold has
+    seen, of the load in which it is larger."""
     r1, r0, z1, z0 = (F.col(c) for c in ("r1", "r0", "z1", "z0"))
-    j = F.lit(0.0)
+    j, unseen = F.lit(0.0), F.lit(0.0)
     for k in range(FOLDS):
-        commoner = (_total(z1) - z1[k]).cast("double") * (_total(r0) - r0[k]) - (_total(z0) - z0[k]).cast("double") * (_total(r1) - r1[k])
+        one, other = _total(z1) - z1[k], _total(z0) - z0[k]
+        commoner = one.cast("double") * (_total(r0) - r0[k]) - other.cast("double") * (_total(r1) - r1[k])
         null = z1[k] / _total(r1) - z0[k] / _total(r0)
         rest = (r1[k] - z1[k]) / _total(r1) - (r0[k] - z0[k]) / _total(r0)
         j = j + F.when(commoner > 0, null).when(commoner < 0, rest).otherwise(0.0)
-    return j
+        unseen = unseen + F.when((one == 0) & (other == 0), F.greatest(z1[k] / _total(r1), z0[k] / _total(r0))).otherwise(0.0)
+    return j.alias("null_alone"), unseen.alias("null_open")
 
 
 def _values_alone(cells: DataFrame, folds: DataFrame, spec: TableSpec) -> DataFrame:
     """load_id, place of columns compared by share: value_alone (held-out discrimination of the saturated model of the
-    values of non-null rows), open (share of the load's rows whose value no other fold has seen) and apart (exactly: the
+    values of non-null rows), value_open (what held-out rows can't
+    settle: the share of the load's rows whose value no other fold has seen, and the largest standard error of a
+    discrimination on so few rows) and apart (exactly: the
     sum of differences of shares, times both numbers of rows)."""
     place = {c: i for i, c in enumerate(spec.forms)}
     listed = F.array(*[F.struct(F.lit(place[c]).alias("place"), F.col(f"v{i}").alias("value")) for i, c in enumerate(spec.by_share)])
@@ -330,7 +339,7 @@ def _values_alone(cells: DataFrame, folds: DataFrame, spec: TableSpec) -> DataFr
         .groupBy("load_id", "place")
         .agg(
             F.sum(alone).alias("value_alone"),
-            F.sum(unseen / _total(t1)).alias("open"),
+            (F.sum(unseen / _total(t1)) + F.max(F.sqrt(0.25 / _total(t1) + 0.25 / _total(t0)))).alias("value_open"),
             F.sum(F.abs(whole(n1, t0) - whole(n0, t1))).cast("decimal(38,0)").alias("apart"),
         )
     )
@@ -341,8 +350,9 @@ def two_sample_test(cells: DataFrame, spec: TableSpec, shard: int = SHARD, batch
 
     discrimination (Youden's J of the joint model on held-out rows: the share of the load's rows told right, less that of
     the other's told wrong), ablated (how much of it goes with the column), null_alone and value_alone (held-out J of the
-    column alone: of null or not, and of its values among non-null rows), open (see _values_alone) and apart (exact, see
-    there). The last three are null for columns not compared by share and where a load has nulls only. shard, batch: how
+    column alone: of null or not, and of its values among non-null rows), null_open and value_open (shares of rows that no
+    fold but their own has seen alike, see _null_alone and _values_alone) and apart (exact, see there). The last three are
+    null for columns not compared by share and where a load has nulls only. shard, batch: how
     many cells are trained together, and at a time.
     """
     columns, shares = list(spec.forms), list(spec.by_share)
@@ -363,24 +373,24 @@ def two_sample_test(cells: DataFrame, spec: TableSpec, shard: int = SHARD, batch
     )
     joint = F.col("full1") / _total(F.col("r1")) - F.col("full0") / _total(F.col("r0"))
     less = F.col("less1") / _total(F.col("r1")) - F.col("less0") / _total(F.col("r0"))
-    found = folds.join(trained, ["load_id", "place"]).select("load_id", "place", joint.alias("discrimination"), (joint - less).alias("ablated"), _null_alone().alias("null_alone"))
+    found = folds.join(trained, ["load_id", "place"]).select("load_id", "place", joint.alias("discrimination"), (joint - less).alias("ablated"), *_null_alone())
     if shares:
         found = found.join(_values_alone(cells, folds, spec), ["load_id", "place"], "left")
     else:
-        found = found.withColumns({c: F.lit(None).cast(t) for c, t in (("value_alone", "double"), ("open", "double"), ("apart", "decimal(38,0)"))})
+        found = found.withColumns({c: F.lit(None).cast(t) for c, t in (("value_alone", "double"), ("value_open", "double"), ("apart", "decimal(38,0)"))})
     names = F.array(*[F.lit(c) for c in columns])
-    return found.select("load_id", F.get(names, F.col("place")).alias("column_name"), "discrimination", "ablated", "null_alone", "value_alone", "open", "apart")
+    return found.select("load_id", F.get(names, F.col("place")).alias("column_name"), "discrimination", "ablated", "null_alone", "null_open", "value_alone", "value_open", "apart")
 
 
 def proposals(evidence: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Of the evidence, what the classifier proposes as changed: load_id, column_name, kind.
 
     A column is proposed by ablation either way: when taking it out costs the joint model, or keeping it alone still
-    tells the loads apart, a share `propose` of the limit or more on held-out rows. Rows whose value no other fold has
-    seen count as told apart, so no shift of columns of many rare values is lost. An exact check decides in the end.
+    tells the loads apart, a share `propose` of the limit or more on held-out rows. What these leave open counts as told
+    apart, so no shift of many rare values or of few rows is lost. An exact check decides in the end.
     """
-    null = F.greatest("ablated", "null_alone") >= limits.null_shift * limits.propose
-    value = F.greatest(F.col("ablated"), F.col("value_alone") + F.col("open")) >= limits.value_shift * limits.propose
+    null = F.greatest(F.col("ablated"), F.col("null_alone") + F.col("null_open")) >= limits.null_shift * limits.propose
+    value = F.greatest(F.col("ablated"), F.col("value_alone") + F.col("value_open")) >= limits.value_shift * limits.propose
     kinds = F.array(F.when(null, "null_shift"), F.when(F.col("value_alone").isNotNull() & value, "value_shift"))
     return evidence.select("load_id", "column_name", "apart", F.explode(F.filter(kinds, lambda x: x.isNotNull())).alias("kind"))
 
