@@ -1,4 +1,4 @@
-"""SQL twins of the queries of problems 1 to 4."""
+"""SQL twins of the queries of problems 1 to 5."""
 
 from __future__ import annotations
 
@@ -130,11 +130,63 @@ _P2 = f"""WITH {_p2_base()},
      SELECT c.table_name, c.load_id, c.column_name, sum(abs(c.n1 * (p.n0 - p.z0) - c.n0 * (p.n1 - p.z1))) AS a, any_value((p.n0 - p.z0) * (p.n1 - p.z1)) AS t
      FROM cells c JOIN pairs p USING (table_name, load_id, column_name) WHERE p.n1 > p.z1 AND p.n0 > p.z0 GROUP BY 1, 2, 3) WHERE a * 100 > 30 * t"""
 
+#: Members of a flat JSON object: name and literal.
+_MEMBER = r'"((?:[^"\\]|\\.)*)"\s*:\s*("(?:[^"\\]|\\.)*"|[^,}\s]+)'
+_KEYS = {
+    "legacy_customers": "customer_no", "legacy_accounts": "acct_no", "legacy_transactions": "txn_id",
+    "legacy_beneficiaries": "beneficiary_id", "legacy_risk_events": "risk_id",
+}
+_KEY_OF = "CASE table_name " + " ".join(f"WHEN '{t}' THEN '{k}'" for t, k in _KEYS.items()) + " END"
+
+_P5_BASE = f"""WITH RECURSIVE lines AS (SELECT row_number() OVER () AS rid, * FROM raw_records),
+  members AS (SELECT rid, source_id, file_no, table_name, unnest(regexp_extract_all(payload, '{_MEMBER}', 1)) AS name, unnest(regexp_extract_all(payload, '{_MEMBER}', 2)) AS lit FROM lines),
+  cells AS (SELECT *, name = {_KEY_OF} AS is_key, CASE WHEN lit LIKE '"%' THEN json_extract_string('[' || lit || ']', '$[0]') WHEN lit <> 'null' THEN lit END AS text,
+    CASE WHEN lit = 'null' THEN NULL WHEN lit LIKE '"%' THEN 's' WHEN lit IN ('true', 'false') THEN 'b' WHEN regexp_matches(lit, '[.eE]') THEN 'd' ELSE 'i' END AS kind FROM members),
+  keyed AS (SELECT rid, text AS k FROM cells WHERE is_key),
+  files AS (SELECT source_id, file_no, row_number() OVER (PARTITION BY source_id ORDER BY file_no) AS ord, lead(file_no) OVER (PARTITION BY source_id ORDER BY file_no) AS next_file
+    FROM (SELECT DISTINCT source_id, file_no FROM raw_records)),
+  typed AS (SELECT source_id, file_no, min(table_name) AS table_name, name, CASE WHEN count(kind) = 0 THEN NULL WHEN bool_and(kind = 'b') THEN 'boolean' WHEN bool_and(kind = 'i') THEN 'integer'
+    WHEN bool_and(kind IN ('i', 'd')) THEN 'number' ELSE 'string' END AS type FROM cells WHERE NOT is_key GROUP BY source_id, file_no, name),
+  marked AS (SELECT t.*, ord, next_file, coalesce(lag(ord) OVER l <> ord - 1, true) AS starts, coalesce(lead(ord) OVER l <> ord + 1, true) AS ends
+    FROM typed t JOIN files USING (source_id, file_no) WINDOW l AS (PARTITION BY source_id, name ORDER BY ord)),
+  catalogue AS (SELECT *, max(CASE WHEN starts THEN ord END) OVER (PARTITION BY source_id, name ORDER BY ord) AS start FROM marked),
+  leavers AS (SELECT source_id, ord + 1 AS ord, next_file AS file_no, file_no AS old_file, name AS old_name, start FROM catalogue WHERE ends AND next_file IS NOT NULL),
+  comers AS (SELECT source_id, ord, file_no, name AS new_name FROM catalogue WHERE starts AND ord > 1),
+  vals AS (SELECT source_id, file_no, k, name, min(text) AS text FROM cells JOIN keyed USING (rid) WHERE NOT is_key AND text IS NOT NULL AND k IS NOT NULL GROUP BY ALL),
+  pairs AS (SELECT l.source_id, l.ord, l.old_name, c.new_name, count(*) AS n, count(*) FILTER (a.text = b.text) AS same FROM leavers l JOIN comers c USING (source_id, ord)
+    JOIN vals a ON a.source_id = l.source_id AND a.file_no = l.old_file AND a.name = l.old_name JOIN vals b ON b.source_id = c.source_id AND b.file_no = c.file_no AND b.name = c.new_name AND b.k = a.k GROUP BY ALL),
+  good AS (SELECT *, row_number() OVER (PARTITION BY source_id, ord, old_name ORDER BY same / n DESC, n DESC, new_name) AS ro,
+    row_number() OVER (PARTITION BY source_id, ord, new_name ORDER BY same / n DESC, n DESC, old_name) AS rn FROM pairs WHERE n >= 5 AND same >= 0.8 * n),
+  renames AS (SELECT source_id, ord, old_name, new_name FROM good WHERE ro = 1 AND rn = 1),
+  links AS (SELECT source_id, new_name AS name, ord AS start, old_name AS before_name, l.start AS before_start FROM renames JOIN leavers l USING (source_id, ord, old_name)),
+  heads AS (SELECT source_id, name, start, name AS head, start AS head_start FROM (SELECT DISTINCT source_id, name, start FROM catalogue) ANTI JOIN links USING (source_id, name, start)
+    UNION ALL SELECT l.source_id, l.name, l.start, h.head, h.head_start FROM links l JOIN heads h ON h.source_id = l.source_id AND h.name = l.before_name AND h.start = l.before_start),
+  kept AS (SELECT c.*, head, head_start, r.old_name FROM catalogue c JOIN heads USING (source_id, name, start) LEFT JOIN renames r ON r.source_id = c.source_id AND r.ord = c.ord AND r.new_name = c.name)"""
+
+_P5 = f"""{_P5_BASE}
+  SELECT source_id, CAST(file_no AS integer) AS file_no, CASE WHEN new_name IS NULL THEN 'removed' ELSE 'renamed' END AS change_kind, old_name, coalesce(new_name, '') AS new_name
+    FROM leavers LEFT JOIN renames USING (source_id, ord, old_name)
+  UNION ALL SELECT source_id, file_no, 'added', '', new_name FROM comers ANTI JOIN renames USING (source_id, ord, new_name)
+  UNION ALL SELECT source_id, file_no, 'type_changed', coalesce(old_name, name), name FROM (SELECT *, lag(type) OVER (PARTITION BY source_id, head, head_start ORDER BY ord) AS before FROM kept WHERE type IS NOT NULL)
+    WHERE type <> before"""
+
+_P5_UNIFIED = f"""{_P5_BASE},
+  types AS (SELECT table_name, head, CASE WHEN count(*) FILTER (type = 'string') > 0 OR (count(*) FILTER (type = 'boolean') > 0 AND count(*) FILTER (type IN ('integer', 'number')) > 0) THEN 'string'
+    WHEN count(*) FILTER (type = 'number') > 0 THEN 'number' WHEN count(*) FILTER (type = 'integer') > 0 THEN 'integer' WHEN count(*) FILTER (type = 'boolean') > 0 THEN 'boolean' ELSE 'string' END AS ct FROM kept GROUP BY 1, 2),
+  shaped AS (SELECT c.table_name, c.source_id, c.file_no, k AS record_key, a.head, min(CASE ct WHEN 'integer' THEN CAST(try_cast(text AS decimal(38,0)) AS varchar) WHEN 'number' THEN CAST(try_cast(text AS double) AS varchar)
+    WHEN 'boolean' THEN CAST(try_cast(text AS boolean) AS varchar) ELSE text END) AS value
+    FROM cells c LEFT JOIN keyed USING (rid) JOIN kept a ON a.source_id = c.source_id AND a.file_no = c.file_no AND a.name = c.name JOIN types t ON t.table_name = a.table_name AND t.head = a.head
+    WHERE NOT c.is_key GROUP BY ALL)
+  SELECT table_name, source_id, CAST(file_no AS integer) AS file_no, record_key, '{{' || string_agg(CAST(to_json(head) AS varchar) || ':' || coalesce(CAST(to_json(value) AS varchar), 'null'), ',' ORDER BY head) || '}}' AS columns
+  FROM shaped GROUP BY 1, 2, 3, 4"""
+
 SQL = {
     "p1_found": _p1(),
     "p2_found": _P2,
     "p2_profiles": _P2_PROFILES,
     "p3_found": _P3,
     "p4_found": _p4(),
+    "p5_found": _P5,
+    "p5_unified": _P5_UNIFIED,
     "p4_counts": f"SELECT table_name, period, reason, count(*) AS n FROM ({_p4()}) GROUP BY 1, 2, 3",
 }
