@@ -2,7 +2,7 @@
 
 Only the histogram of lengths is planned: best fit, longest first, over counts. The plan is a list of runs, each of which
 places so many items of one length into a range of containers alike. Documents then find their slot by joining on their
-rank within their length, which is counted in salted parts, so that a common length is no single group.
+rank within their length, which is counted in parts of about PART items, so that a common length is no single group.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from paritas.session import written
 
 CAPACITY = 4096
-SALTS = 64
+PART = 250_000
 
 PLAN = "length int, first long, last long, container long, each long, start int"
 
@@ -71,12 +71,13 @@ def plan(histogram: Iterable[tuple[int, int]], capacity: int = CAPACITY) -> list
     return runs
 
 
-def pack(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def pack(sizes: DataFrame, capacity: int = CAPACITY, part: int = PART) -> DataFrame:
     """sizes (doc_id, n_tokens) -> doc_id, piece_no, n_tokens, container_id, start_token.
 
     Every item lies whole in one container; only an item larger than the capacity is split, into pieces of the capacity
     and a rest, numbered from 0. Items of null, zero or negative size are left out. Repeated rows are items of their
-    own; a null doc_id is kept. No containers come of no items. Other columns play no part.
+    own; a null doc_id is kept. No containers come of no items. Other columns play no part. part: items of a length that are
+    ranked together, which makes no difference to the containers' fill.
     """
     spark = sizes.sparkSession
     n = F.col("n_tokens").cast("long")
@@ -84,18 +85,21 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         sizes.where(n > 0)
         .select("doc_id", n.alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / capacity).cast("long"))).alias("piece_no"))
         .select("doc_id", F.col("piece_no").cast("int"), F.least(F.lit(capacity), F.col("n") - F.col("piece_no") * capacity).cast("int").alias("length"))
-        .withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(SALTS)).cast("int"))
     )
-    # The sizes are costly to count and read twice; a written table of three numbers an item is not.
+    # The sizes are costly to count and read again; a written table of three numbers an item is not.
     items = written(items, "packing-items")
+    # At most `capacity` lengths, whatever the corpus.
+    histogram = [(r["length"], r["many"]) for r in items.groupBy("length").agg(F.count(F.lit(1)).alias("many")).collect()]
+    salts = spark.createDataFrame([(length, -(-many // part)) for length, many in histogram], "length int, salts long")
+    salt = F.pmod(F.xxhash64("doc_id", "piece_no"), F.col("salts")).alias("salt")
+    items = items.join(F.broadcast(salts), "length").select("doc_id", "piece_no", "length", salt)
     parts = items.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("many"))
     before = F.coalesce(F.sum("many").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = parts.select("length", "salt", before.alias("before"))
-    # At most `capacity` lengths, and offsets at most SALTS times that: both are bounded whatever the corpus.
-    histogram = [(r["length"], r["many"]) for r in parts.groupBy("length").agg(F.sum("many").alias("many")).collect()]
+    # About ten runs a length.
     runs = spark.createDataFrame(plan(histogram, capacity), PLAN)
     rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece_no")) - 1
-    ranked = items.withColumn("rank", rank).join(F.broadcast(offsets), ["length", "salt"])
+    ranked = items.withColumn("rank", rank).join(offsets, ["length", "salt"])
     ranked = ranked.select("doc_id", "piece_no", "length", (F.col("rank") + F.col("before")).alias("rank"))
     at = F.col("rank") - F.col("first")
     return (
