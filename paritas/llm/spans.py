@@ -4,12 +4,15 @@ A span of at least W characters stands in two texts when a window of W character
 their minimiser (the least hash of the M-character strings within a window) travel together as one packed string, a
 super-k-mer, to the bucket of that minimiser, which is the same for equal windows wherever they stand; in the bucket,
 sorting brings equal windows together. A minimiser that occurs in one document only can't be that of a shared window,
-so super-k-mers are sent only for minimisers of several documents; a bitmap of fixed size tells them, and what it lets
-through wrongly changes nothing but the volume. Equal strings of one portion of documents travel once.
+so super-k-mers are sent only for minimisers of several documents; a bitmap sized by their number tells them, and what it
+lets through wrongly changes nothing but the volume. Equal strings of one portion of documents travel once.
 
 A minimiser whose strings have more than HOT windows in all (a passage that a third of all documents may contain) is no
-single bucket: its windows are dealt out by two 64-bit hashes each, their least and greatest document combined on the
-map side, and the shared ones joined back to where they stand.
+single bucket: its windows are told apart by their least hashes under further functions too, as many as halve the bucket
+often enough, and consecutive windows that share all of these travel together, again as one packed string. Of such
+strings the equal ones are first combined to one with its least and greatest document, so that a string of very many
+documents is one row of its bucket; what is found there is joined back to where the string stands. Equality is that of the
+characters everywhere.
 """
 
 from __future__ import annotations
@@ -27,26 +30,26 @@ from paritas.session import written
 
 W, M = 240, 32
 
-#: Characters handled at a time when minimisers are sought, and when windows are sorted; bits of the bitmap.
-BLOCK, SORTED, BITS = 262_144, 1_500_000, 1 << 26
+#: Characters handled at a time when minimisers are sought, and when windows are sorted.
+BLOCK, SORTED = 262_144, 1_500_000
 
-#: Windows of one minimiser beyond which it is dealt out by window, and the parts in which those are joined back.
-HOT, SALTS = 2_000_000, 8
+#: Bits of the bitmap for each shared minimiser, and the least and most bits it has.
+SPARSE, LEAST_BITS, MOST_BITS = 128, 1 << 23, 1 << 31
+
+#: Windows of one minimiser beyond which it is told apart further, and the most further hashes.
+HOT, LEVELS = 2_000_000, 16
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
-_BASES = (_BASE, np.uint64(0xC2B2AE3D27D4EB4F))
-
-
-def rolling_hash(codes: np.ndarray, length: int, base: np.uint64 = _BASE) -> np.ndarray:
+def rolling_hash(codes: np.ndarray, length: int) -> np.ndarray:
     """A 64-bit hash of each run of `length` characters, by doubling: of 2k characters from two of k."""
     with np.errstate(over="ignore"):
         h = (codes.astype(np.uint64) + np.uint64(1)) * _MIX
         h ^= h >> np.uint64(29)
-        h *= base
-        out, taken, width, power = None, 0, 1, base
+        h *= _BASE
+        out, taken, width, power = None, 0, 1, _BASE
         while True:
             if length & width:
                 if out is None:
@@ -70,18 +73,20 @@ def _least(h: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (n - width)], h[n - width :]) if n > width else h
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(31))
+    with np.errstate(over="ignore"):
+        h *= _MIX
+    return h ^ (h >> np.uint64(32))
+
+
 def super_kmers(codes: np.ndarray, bounds: np.ndarray, window: int = W, m: int = M) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of texts one after another (bounds: where each begins, and the end): the minimiser, first character and end of
     each run of windows of one text that share their minimiser."""
     none = np.zeros(0, np.int64)
     if len(codes) < window:
         return none.astype(np.uint64), none, none
-    h = rolling_hash(codes, m)
-    h ^= h >> np.uint64(31)
-    with np.errstate(over="ignore"):
-        h *= _MIX
-    h ^= h >> np.uint64(32)
-    least = _least(h, window - m + 1)
+    least = _least(_mixed(rolling_hash(codes, m)), window - m + 1)
     valid = np.zeros(len(least), bool)
     first = np.zeros(len(least) + 1, bool)
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -161,37 +166,37 @@ def _has_bit(bitmap: np.ndarray, anchors: np.ndarray) -> np.ndarray:
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
-def _hot_windows(path: str, bits: int):
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Windows of hot anchors: two hashes, doc_id and place of each."""
-        _, hot = _read_bitmaps(path, bits)
-        for batch in batches:
-            for codes, bounds, docs, places in _blocks(batch):
-                least, starts, ends = super_kmers(codes, bounds)
-                hit = _has_bit(hot, least)
-                starts, many = starts[hit], (ends - starts)[hit] - W + 1
-                if not len(starts):
-                    continue
-                at = np.repeat(starts - np.cumsum(many) + many, many) + np.arange(many.sum())
-                piece = np.searchsorted(bounds, at, "right") - 1
-                columns = [rolling_hash(codes, W, base)[at].view(np.int64) for base in _BASES]
-                columns += [docs[piece], places[piece] + at - bounds[piece]]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["h1", "h2", "doc_id", "a"])
+def _split_runs(codes: np.ndarray, least: np.ndarray, starts: np.ndarray, ends: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows cut where one of `levels` further minimisers changes: the key of them all, first character and end."""
+    many = ends - starts - W + 1
+    at = np.repeat(starts - np.cumsum(many) + many, many) + np.arange(many.sum())
+    key, h = np.repeat(least, many), rolling_hash(codes, M)
+    for level in range(levels):
+        with np.errstate(over="ignore"):
+            h = _mixed(h + _MIX * np.uint64(2 * level + 3))
+            key = _mixed(key * _BASE + _least(h, W - M + 1)[at])
+    first = np.append(True, (at[1:] - at[:-1] != 1) | (key[1:] != key[:-1]))
+    heads = np.flatnonzero(first)
+    return key[heads], at[heads], at[np.append(heads[1:], len(at)) - 1] + W
+
 
-    return deal
+PACKED = "anchor long, packed binary, docs array<long>, places array<long>"
 
 
-def _packer(path: str, bits: int):
+def _packer(path: str, bits: int, levels: int = 0):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Super-k-mers of shared anchors that aren't hot: anchor, the packed string, and where it stands (docs, places)."""
+        """Super-k-mers of shared anchors: anchor, the packed string, and where it stands (docs, places). levels: those of
+        hot anchors, told apart by so many further minimisers; 0: those of all others."""
         shared, hot = _read_bitmaps(path, bits)
         for batch in batches:
             for codes, bounds, docs, places in _blocks(batch):
                 least, starts, ends = super_kmers(codes, bounds)
-                hit = _has_bit(shared, least) & ~_has_bit(hot, least)
+                hit = _has_bit(hot, least) if levels else _has_bit(shared, least) & ~_has_bit(hot, least)
                 least, starts, ends = least[hit], starts[hit], ends[hit]
                 if not len(least):
                     continue
+                if levels:
+                    least, starts, ends = _split_runs(codes, least, starts, ends, levels)
                 piece = np.searchsorted(bounds, starts, "right") - 1
                 doc, place = docs[piece], places[piece] + starts - bounds[piece]
                 # Byte offsets of the characters give each packed string as a slice.
@@ -247,8 +252,9 @@ def _same_windows(codes: np.ndarray, at: np.ndarray, window: int = W) -> np.ndar
     return group
 
 
-def _covered(packed: list[bytes], docs: pa.ListArray, places: pa.ListArray) -> pa.RecordBatch:
-    """doc_id, a, b: stretches of the texts whose windows stand in another document too."""
+def _shared_runs(packed: list[bytes], low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of strings with the least and greatest document of each: string number, begin and end of each stretch whose windows
+    stand in several documents."""
     text = b"".join(packed).decode("utf-8", "surrogatepass")
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     sizes = np.fromiter((len(p) if p.isascii() else len(p.decode("utf-8", "surrogatepass")) for p in packed), np.int64, len(packed))
@@ -257,10 +263,6 @@ def _covered(packed: list[bytes], docs: pa.ListArray, places: pa.ListArray) -> p
     piece = np.repeat(np.arange(len(packed)), windows)
     at = np.arange(len(piece)) - np.repeat(np.cumsum(windows) - windows, windows) + np.repeat(begins, windows)
     group = _same_windows(codes, at)
-    ends = np.asarray(docs.offsets)
-    ends = ends - ends[0]
-    of, place = docs.flatten().to_numpy(), places.flatten().to_numpy()
-    low, high = np.minimum.reduceat(of, ends[:-1]), np.maximum.reduceat(of, ends[:-1])
     groups = int(group.max()) + 1
     order = np.argsort(group, kind="stable")
     heads = np.searchsorted(group[order], np.arange(groups))
@@ -269,51 +271,76 @@ def _covered(packed: list[bytes], docs: pa.ListArray, places: pa.ListArray) -> p
     before = np.append(False, shared[:-1] & (piece[1:] == piece[:-1]))
     after = np.append(shared[1:] & (piece[1:] == piece[:-1]), False)
     a, b = np.flatnonzero(shared & ~before), np.flatnonzero(shared & ~after)
-    run_piece, run_a, run_b = piece[a], at[a] - begins[piece[a]], at[b] - begins[piece[b]] + W
-    many = np.diff(ends)[run_piece]
+    return piece[a], at[a] - begins[piece[a]], at[b] - begins[piece[b]] + W
+
+
+def _covered(t: pa.Table) -> pa.RecordBatch:
+    """doc_id, a, b: stretches of the texts whose windows stand in another document too, from whole buckets of PACKED."""
+    docs, places = (t[c].combine_chunks() for c in ("docs", "places"))
+    ends = np.asarray(docs.offsets)
+    ends = ends - ends[0]
+    of, place = docs.flatten().to_numpy(), places.flatten().to_numpy()
+    run, a, b = _shared_runs(t["packed"].to_pylist(), np.minimum.reduceat(of, ends[:-1]), np.maximum.reduceat(of, ends[:-1]))
+    many = np.diff(ends)[run]
     total = np.cumsum(many)
-    occurrence = np.repeat(ends[:-1][run_piece] - (total - many), many) + np.arange(total[-1] if len(total) else 0)
-    columns = of[occurrence], place[occurrence] + np.repeat(run_a, many), place[occurrence] + np.repeat(run_b, many)
+    occurrence = np.repeat(ends[:-1][run] - (total - many), many) + np.arange(total[-1] if len(total) else 0)
+    columns = of[occurrence], place[occurrence] + np.repeat(a, many), place[occurrence] + np.repeat(b, many)
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["doc_id", "a", "b"])
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Buckets come sorted by anchor; whole anchors are handled at a time, about SORTED characters of them."""
-    held: list[pa.RecordBatch] = []
-    size = 0
+STRETCHES = "anchor long, packed binary, a long, b long"
 
-    def flush(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(parts).combine_chunks()
-        return _covered(t["packed"].to_pylist(), *(t[c].combine_chunks() for c in ("docs", "places")))
 
-    for batch in batches:
-        anchors = batch.column(0).to_numpy()
-        bytes_to = np.cumsum(pc.binary_length(batch.column(1)).to_numpy())
-        cuts = np.flatnonzero(anchors[1:] != anchors[:-1]) + 1
-        if held and len(anchors) and held[-1].column(0)[-1].as_py() != anchors[0]:
-            cuts = np.append(0, cuts)
-        at = 0
-        for cut in cuts.tolist():
-            here = int(bytes_to[cut - 1]) if cut else 0
-            done = int(bytes_to[at - 1]) if at else 0
-            if size + here - done >= SORTED:
-                held.append(batch.slice(at, cut - at))
-                yield flush(held)
-                held, size, at = [], 0, cut
-        if at < batch.num_rows:
-            held.append(batch.slice(at))
-            size += int(bytes_to[-1]) - (int(bytes_to[at - 1]) if at else 0)
-    if held:
-        yield flush(held)
-
-
-def shared_spans(documents: DataFrame, bits: int = BITS, partitions: int | None = None, hot: int = HOT) -> DataFrame:
+def _within(t: pa.Table) -> pa.RecordBatch:
+    """STRETCHES of each string that stand in several documents, from whole buckets of anchor, packed, low, high."""
+    run, a, b = _shared_runs(t["packed"].to_pylist(), t["low"].to_numpy(), t["high"].to_numpy())
+    at = pa.array(run)
+    columns = [t[c].combine_chunks().take(at) for c in ("anchor", "packed")]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["anchor", "packed", "a", "b"])
+
+
+def _whole_buckets(count):
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Buckets come sorted by anchor; whole anchors are handled at a time, about SORTED characters of them."""
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        for batch in batches:
+            anchors = batch.column(0).to_numpy()
+            bytes_to = np.cumsum(pc.binary_length(batch.column(1)).to_numpy())
+            cuts = np.flatnonzero(anchors[1:] != anchors[:-1]) + 1
+            if held and len(anchors) and held[-1].column(0)[-1].as_py() != anchors[0]:
+                cuts = np.append(0, cuts)
+            at = 0
+            for cut in cuts.tolist():
+                here = int(bytes_to[cut - 1]) if cut else 0
+                done = int(bytes_to[at - 1]) if at else 0
+                if size + here - done >= SORTED:
+                    held.append(batch.slice(at, cut - at))
+                    yield count(pa.Table.from_batches(held).combine_chunks())
+                    held, size, at = [], 0, cut
+            if at < batch.num_rows:
+                held.append(batch.slice(at))
+                size += int(bytes_to[-1]) - (int(bytes_to[at - 1]) if at else 0)
+        if held:
+            yield count(pa.Table.from_batches(held).combine_chunks())
+
+    return counted
+
+
+def _levels(windows: int, hot: int) -> int:
+    """How many further minimisers a bucket of so many windows needs when each halves it."""
+    return min(LEVELS, max(1, (windows // max(hot, 1)).bit_length()))
+
+
+def shared_spans(documents: DataFrame, bits: int | None = None, hot: int = HOT) -> DataFrame:
     """documents (doc_id, text) -> doc_id, span_start, span_end: each maximal run of characters of a text of which every
     one lies in some stretch of at least W characters that stands verbatim in the text of another doc_id.
 
     Positions are code points from 0, the end exclusive. Null, empty and short texts have no spans; rows with a null
     doc_id count for nothing. Rows of one doc_id are one document: repeats within it don't count. Touching runs are one.
-    Texts are searched whole, whatever their length. Other columns play no part.
+    Texts are searched whole, whatever their length. Other columns play no part. bits (of the bitmap) and hot make no
+    difference to the result.
     """
     spark = documents.sparkSession
     texts = documents.select(F.col("doc_id").cast("long"), "text").where(
@@ -325,30 +352,37 @@ def shared_spans(documents: DataFrame, bits: int = BITS, partitions: int | None
         .agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("windows").alias("windows"))
         .where("low <> high")
     )
+    # Written, so that the bitmap can be sized by their number; two numbers for each.
+    anchors = written(anchors.select("anchor", "windows"), "anchors")
+    n, most = anchors.agg(F.count(F.lit(1)), F.max("windows")).collect()[0]
+    if not n:
+        return spark.createDataFrame([], "doc_id long, span_start long, span_end long")
+    bits = bits or min(MOST_BITS, max(LEAST_BITS, 1 << (n * SPARSE - 1).bit_length()))
     bit = F.pmod("anchor", F.lit(bits)) + 1
     bitmaps = anchors.groupBy((F.col("windows") > hot).alias("hot"), F.bitmap_bucket_number(bit).alias("part")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bitmap")
     )
-    # At most twice bits / 8 bytes; the workers read them from the shared folder.
-    stored = written(bitmaps, "anchors")
-    kinds = {r["hot"] for r in stored.select("hot").distinct().collect()}
-    if not kinds:
-        return spark.createDataFrame([], "doc_id long, span_start long, span_end long")
-    folder = stored.inputFiles()[0].rsplit("/", 1)[0]
-    n = partitions or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # At most twice MOST_BITS / 8 bytes; the workers read them from the shared folder.
+    folder = written(bitmaps, "bitmaps").inputFiles()[0].rsplit("/", 1)[0]
     stretches = (
-        texts.mapInArrow(_packer(folder, bits), "anchor long, packed binary, docs array<long>, places array<long>")
-        .repartition(n, "anchor")
+        texts.mapInArrow(_packer(folder, bits), PACKED)
+        .repartition("anchor")
         .sortWithinPartitions("anchor")
-        .mapInArrow(_count, "doc_id long, a long, b long")
+        .mapInArrow(_whole_buckets(_covered), "doc_id long, a long, b long")
     )
-    if True in kinds:
-        windows = texts.mapInArrow(_hot_windows(folder, bits), "h1 long, h2 long, doc_id long, a long")
-        common = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high")
-        common = common.select("h1", "h2", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt"))
-        salted = windows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-        found = salted.join(common, ["h1", "h2", "salt"]).select("doc_id", "a", (F.col("a") + W).alias("b"))
-        stretches = stretches.unionByName(found)
+    if most > hot:
+        # Written once: strings go to their buckets without their places, and what is found there comes back to these.
+        packed = written(texts.mapInArrow(_packer(folder, bits, _levels(most, hot)), PACKED), "hot-strings")
+        within = (
+            packed.groupBy("anchor", "packed")
+            .agg(F.min(F.array_min("docs")).alias("low"), F.max(F.array_max("docs")).alias("high"))
+            .repartition("anchor")
+            .sortWithinPartitions("anchor")
+            .mapInArrow(_whole_buckets(_within), STRETCHES)
+        )
+        # A string of very many documents has a row for each portion of them; adaptive execution splits such a partition.
+        found = packed.join(within, ["anchor", "packed"]).select("a", "b", F.inline(F.arrays_zip("docs", "places")))
+        stretches = stretches.unionByName(found.select(F.col("docs").alias("doc_id"), (F.col("places") + F.col("a")).alias("a"), (F.col("places") + F.col("b")).alias("b")))
     # Stretches of one document are at most its super-k-mers; overlapping and touching ones are merged.
     order = Window.partitionBy("doc_id").orderBy("a", "b")
     reach = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))

@@ -205,3 +205,33 @@ def test_packing_of_one_common_length(spark):
     assert max(r[1] for r in filled) <= 4096 and out.count() == 6000
     total = sum(r[1] for r in filled)
     assert len(filled) <= 1.01 * -(-total // 4096) + 1
+
+
+def test_hot_windows_are_split_by_further_minimisers_and_compared_by_characters(spark):
+    """A passage in every third document, in ever other surroundings, with some neighbours of few or no shared windows."""
+    import random
+
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, texts = word(300), {}
+    for i in range(60):
+        own = word(rng.randrange(200, 500))
+        texts[i] = own[:150] + (passage if i % 3 == 0 else "") + own[150:] + (passage[40:200] if i % 5 == 0 else "")
+    texts = list(texts.items()) + [(60, texts[3][100:] + "x")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    expected = shared(texts, spans.W)
+    assert expected and found(df, hot=0) == found(df, hot=150) == found(df) == expected
+
+
+@pytest.mark.parametrize("levels", [1, 3, 7])
+def test_split_runs_hold_every_window_once_and_give_equal_windows_one_key(levels):
+    rng = np.random.default_rng(levels)
+    passage = rng.integers(97, 123, 700)
+    codes = np.concatenate([passage, rng.integers(97, 123, 400), passage]).astype(np.uint32)
+    bounds = np.array([0, len(codes)])
+    key, starts, ends = spans._split_runs(codes, *spans.super_kmers(codes, bounds), levels)
+    at = np.concatenate([np.arange(a, b - spans.W + 1) for a, b in zip(starts, ends, strict=True)])
+    assert (at == np.arange(len(codes) - spans.W + 1)).all()
+    of = np.repeat(key, ends - starts - spans.W + 1)
+    windows = 700 - spans.W + 1
+    assert (of[:windows] == of[1100 : 1100 + windows]).all()
