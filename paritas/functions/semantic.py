@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +12,9 @@ from paritas.functions.hashing import SYSTEM_PREFIX
 
 #: Forms of a moment (fixed values); all mean UTC.
 MOMENTS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd")
-_NUMBER = r"\A[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)\z"
+_NUMBER = r"\A[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
+#: Numbers whose point is farther than this from their digits are written with an exponent.
+_FAR = 40
 #: White space around and within a text, Unicode's included.
 _EDGES, _RUN = r"(?U)\A\s+|\s+\z", r"(?U)\s+"
 
@@ -20,27 +25,58 @@ def strip(c: Column) -> Column:
 
 
 def plain_number(c: Column) -> Column:
-    """A decimal without needless zeros: 10.0, 10 and 1.0E1 alike are 10; minus nought is 0."""
-    text = c.cast("decimal(38,12)").cast("string")
-    bare = F.regexp_replace(F.regexp_replace(text, r"0+\z", ""), r"\.\z", "")
-    return F.when(bare == "-0", "0").otherwise(bare)
+    """The number that a text writes, in the one form that all its notations share: 10.0, 10 and 1.0E1 alike are 10, minus
+    nought is 0. It is worked out on the digits, so nothing is rounded, however long they are; very large and very small
+    numbers are digits and an exponent, 7E+99. Null for what is no number, or one whose exponent no long holds."""
+    text = F.when(c.rlike(_NUMBER), c)
+    mantissa = F.regexp_extract(text, r"\A[+-]?([0-9.]+)", 1)
+    whole, part = F.substring_index(mantissa, ".", 1), F.when(mantissa.contains("."), F.substring_index(mantissa, ".", -1)).otherwise("")
+    exponent = F.when(text.rlike("[eE]"), F.regexp_extract(text, r"[eE]([+-]?[0-9]+)", 1).try_cast("long")).otherwise(F.lit(0).cast("long"))
+    digits = F.concat(whole, part)
+    led = F.regexp_replace(digits, r"\A0+", "")
+    # Where the point stands, counted from the first digit that isn't nought.
+    point = F.try_add(exponent, (F.length(whole) - F.length(digits) + F.length(led)).cast("long"))
+    parts = F.array(F.struct(F.regexp_replace(led, r"0+\z", "").alias("d"), point.alias("at"), text.startswith("-").alias("minus")))
+
+    def written(x: Column) -> Column:
+        d, n, at = x["d"], F.length(x["d"]), x["at"]
+        near = F.least(F.greatest(at, F.lit(-_FAR)), F.lit(_FAR)).cast("int")
+        noughts = lambda many: F.repeat(F.lit("0"), many)
+        form = (
+            F.when((at > 0) & (at < n), F.concat(F.substring(d, F.lit(1), at.cast("int")), F.lit("."), F.substring(d, at.cast("int") + 1, n)))
+            .when((at >= n) & (at <= _FAR), F.concat(d, noughts(near - n)))
+            .when((at <= 0) & (at > -_FAR), F.concat(F.lit("0."), noughts(-near), d))
+            .otherwise(F.concat(d, F.lit("E"), F.when(at - n >= 0, "+").otherwise(""), (at - n).cast("string")))
+        )
+        return F.when(d == "", "0").otherwise(F.concat(F.when(x["minus"], "-").otherwise(""), form))
+
+    return F.when(point.isNotNull(), F.get(F.transform(parts, written), F.lit(0)))
+
+
+@cache
+def _foldings() -> tuple[str, str, dict[str, str]]:
+    """Unicode's full case folding, by rule: characters folded to one, those, and characters folded to several."""
+    folded = {chr(c): chr(c).casefold() for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000}
+    one = {a: b for a, b in folded.items() if a != b and len(b) == 1}
+    return "".join(one), "".join(one.values()), {a: b for a, b in folded.items() if len(b) > 1}
 
 
 def casefold(c: Column) -> Column:
-    """Lower case with the sharp s as ss. Other foldings of one letter to several are left out: they occur in no
-    alphabet of the documents and would need Python row by row."""
-    return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
+    """A text without differences of case: Unicode's full case folding, also of letters that fold to several."""
+    one, to, several = _foldings()
+    plain = F.translate(c, one, to)
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in several.items()])
+    unfolded = F.aggregate(pairs, plain, lambda text, p: F.replace(text, p["a"], p["b"]))
+    return F.when(plain.rlike("[" + "".join(several) + "]"), unfolded).otherwise(plain)
 
 
 def normalize_text(c: Column) -> Column:
-    """A text's meaning: a moment as ISO in UTC, else a plain number, else folded with single spaces. A number with more
-    than 26 digits before the point is kept as text."""
+    """A text's meaning: a moment as ISO in UTC, else a number in its one form, else folded with single spaces."""
     text = strip(c)
     moment = F.coalesce(*[F.try_to_timestamp(text, F.lit(m)) for m in MOMENTS])
-    number = F.when(text.rlike(_NUMBER), text.try_cast("decimal(38,12)"))
     return F.coalesce(
         F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss'+00:00'"),
-        plain_number(number),
+        plain_number(text),
         casefold(F.regexp_replace(text, _RUN, " ")),
     )
 
@@ -50,9 +86,9 @@ def normalize_scalar(c: Column, kind: str) -> Column:
     if kind == "string":
         return normalize_text(c)
     if kind in ("tinyint", "smallint", "int", "bigint") or kind.startswith("decimal"):
-        return plain_number(c)
+        return plain_number(c.cast("string"))
     if kind in ("double", "float"):
-        return F.coalesce(plain_number(c.try_cast("decimal(38,12)")), F.lower(c.cast("string")))
+        return F.coalesce(plain_number(c.cast("string")), F.lower(c.cast("string")))
     return c.cast("string")
 
 

@@ -610,6 +610,26 @@ def sem_fingerprints(spark, d):
     return df.select("p_partkey", semantic_fingerprint(df.drop("p_partkey"), {"p_name": "label"}).alias("meaning"))
 
 
+@query("""SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN CAST(p_size * 100 AS varchar) WHEN 1 THEN '0.0000000000000' || rtrim(CAST(p_partkey AS varchar), '0') WHEN 2 THEN '-' || p_partkey || '.00000000000049'
+  WHEN 3 THEN 'σίσυφοσ ffi ' || lower(p_name) WHEN 4 THEN p_partkey || '12345678901234567890123456789' WHEN 5 THEN '0' WHEN 6 THEN '7E+' || (p_partkey + 98) ELSE '2024-02-29T10:00:00+00:00' END AS meaning FROM part""")
+def sem_values(spark, d):
+    """Notations of one value: exponents, digits beyond any decimal, nought, foldings to several letters, moments."""
+    from paritas.functions.semantic import normalize_scalar
+
+    k, say = F.col("p_partkey"), lambda *x: F.concat(*x)
+    raw = (
+        F.when(k % 8 == 0, say("p_size", F.lit(".0e+2")))
+        .when(k % 8 == 1, say(F.lit("+.0000000000000"), "p_partkey"))
+        .when(k % 8 == 2, say(F.lit(" -00"), "p_partkey", F.lit(".000000000000490")))
+        .when(k % 8 == 3, say(F.lit("ΣΊΣΥΦΟς \t\ufb03 "), F.upper("p_name")))
+        .when(k % 8 == 4, say("p_partkey", F.lit("12345678901234567890123456789.00")))
+        .when(k % 8 == 5, F.lit("-0.0e7"))
+        .when(k % 8 == 6, say(F.lit("0.07E"), k + 100))
+        .otherwise(F.lit("2024-02-29 10:00:00"))
+    )
+    return table(spark, d, "part").select("p_partkey", normalize_scalar(raw, "string").alias("meaning"))
+
+
 _SEMLEAF = """SELECT CAST(('0x' || substr(sha256('"' || p_partkey || '"'), 1, 8))::BIGINT % 8 AS integer) AS bucket, CAST(p_partkey AS varchar) AS k,
   sha256(json_object('p_name', lower(p_name), 'p_partkey', CAST(p_partkey AS varchar))) AS h FROM part"""
 
