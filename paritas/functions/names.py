@@ -7,21 +7,21 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words in a name, between underscores or at its ends (fixed values).
+#: Words of a class, between underscores or at the ends of a name (fixed values).
 CLASSES = {
-    "profile_pii": "email phone address ssn tax gov passport card account customer dob",
-    "identifier": "id no number code key ref",
-    "temporal": "date time timestamp created updated closed opened effective event",
-    "monetary": "amount balance price fee debit credit value revenue cost",
-    "pii": "name email phone address ssn tax passport dob birth",
-    "categorical": "status state type stage phase",
+    "profile_pii": ("email", "phone", "address", "ssn", "tax", "gov", "passport", "card", "account", "customer", "dob"),
+    "identifier": ("id", "no", "number", "code", "key", "ref"),
+    "temporal": ("date", "time", "timestamp", "created", "updated", "closed", "opened", "effective", "event"),
+    "monetary": ("amount", "balance", "price", "fee", "debit", "credit", "value", "revenue", "cost"),
+    "pii": ("name", "email", "phone", "address", "ssn", "tax", "passport", "dob", "birth"),
+    "categorical": ("status", "state", "type", "stage", "phase"),
 }
 #: Endings that mark a reference or key (fixed values).
 SUFFIXES = ("_ref", "_id", "_no", "_number", "_key")
 
 
 def pattern(kind: str) -> str:
-    return rf"(?i)(^|_)({'|'.join(CLASSES[kind].split())})(_|$)"
+    return rf"(?i)(^|_)({'|'.join(CLASSES[kind])})(_|$)"
 
 
 def is_kind(name: Column, kind: str) -> Column:

@@ -221,7 +221,7 @@ def transform(df: DataFrame, transformations: dict[str, str | Expression]) -> tu
             for f, c in compiled.items()
         ]
     )
-    fingerprint = row_fingerprint(df.columns).alias(f"{SYSTEM_PREFIX}source_fingerprint")
+    fingerprint = row_fingerprint([c for c in df.columns if not c.startswith(SYSTEM_PREFIX)]).alias(f"{SYSTEM_PREFIX}source_fingerprint")
     kept = [F.col(f"`{c}`") for c in df.columns if c not in compiled]
     good = df.where(first.isNull()).select(
         *kept, *[c.value.alias(f) for f, c in compiled.items()], lineage.alias(f"{SYSTEM_PREFIX}lineage"), fingerprint

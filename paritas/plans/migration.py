@@ -6,11 +6,17 @@ import hashlib
 import heapq
 import json
 from dataclasses import asdict, dataclass, field
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paritas.functions.hashing import SYSTEM_PREFIX, row_fingerprint
+from paritas.operators.evidence import CHAINED, chained
+from paritas.operators.load import batches as numbered_batches
+from paritas.operators.load import last_wins, upsert
 from paritas.plans.dsl import compile_expression, transform
+from paritas.sources.sinks import VersionedTable, append_json, read_json_log
 
 #: A model of throughput, not a measurement.
 ROWS_PER_WORKER_SECOND, BYTES_PER_ROW = 5000, 180
@@ -80,6 +86,9 @@ class MigrationIR:
     risk: dict = field(default_factory=dict)
     dependencies: tuple = ()
     approvals_required: tuple[str, ...] = ()
+    constraints: tuple = ()
+    validations: tuple = ()
+    resource_limits: dict = field(default_factory=dict)
 
     @property
     def fingerprint(self) -> str:
@@ -102,43 +111,88 @@ def compile_ir(source_version: str, target_version: str, mappings: list[Mapping]
 
 
 def diff_ir(spark: SparkSession, left: MigrationIR, right: MigrationIR) -> DataFrame:
-    """source_entity, source_field, before, after (JSON texts) of mappings that differ."""
-    rows = lambda ir: spark.createDataFrame([(m.source_entity, m.source_field, json.dumps(asdict(m), sort_keys=True)) for m in ir.mappings], "source_entity string, source_field string, m string")
-    key = ["source_entity", "source_field"]
-    both = rows(left).withColumnRenamed("m", "before").join(rows(right).withColumnRenamed("m", "after"), key, "full")
+    """part, name, before, after (JSON texts) of what differs between two forms: each mapping by its source field, and
+    every other part as a whole. What only one of them has is null in the other."""
+
+    def rows(ir: MigrationIR) -> DataFrame:
+        whole = asdict(ir)
+        text = lambda x: json.dumps(x, sort_keys=True, default=str)
+        listed = [("mapping", f"{m['source_entity']}.{m['source_field']}", text(m)) for m in whole.pop("mappings")]
+        return spark.createDataFrame(listed + [("form", name, text(x)) for name, x in whole.items()], "part string, name string, m string")
+
+    both = rows(left).withColumnRenamed("m", "before").join(rows(right).withColumnRenamed("m", "after"), ["part", "name"], "full")
     return both.where(~F.col("before").eqNullSafe(F.col("after")))
 
 
+CHECKPOINT = "migration_id string, table_name string, batch long, loaded long, failed long, checksum string, version long, append_no long"
+
+#: Rows of a batch, unless told otherwise.
+BATCH_SIZE = 1_000_000
+
+
 class Engine:
     """Loads tables into versioned folders; quarantine, checkpoints and the log are tables beside them.
 
-    A run of a migration and table is one distributed job: transform, split, upsert, checkpoint. It is idempotent: a
-    finished table is skipped, an interrupted one is loaded again over the last committed version.
+    Rows are numbered into batches by key and order. A run takes the batches that no checkpoint has, all of them or so many as it is
+    told, as one distributed job: transform, split, upsert, a checkpoint each. It is idempotent: what a checkpoint has is
+    skipped, and what a run was interrupted in is loaded again over the last committed version. States of a run are moves
+    in a chained log (see evidence.verify_chain).
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def migrate(self, migration_id: str, table: str, rows: DataFrame, key: str, order: list, transformations: dict[str, str] | None = None) -> dict:
-        from paritas.operators.load import last_wins, upsert
-        from paritas.sources.sinks import VersionedTable, append_json, read_json_log
-
-        log = f"{self.root}/checkpoints"
-        done = read_json_log(self.spark, log, "migration_id string, table_name string, loaded long, failed long, version long, append_no long")
-        if done.where((F.col("migration_id") == migration_id) & (F.col("table_name") == table)).limit(1).count():
+    def checkpoints(self) -> DataFrame:
+        return read_json_log(self.spark, f"{self.root}/checkpoints", CHECKPOINT)
+
+    def log(self) -> DataFrame:
+        return read_json_log(self.spark, f"{self.root}/log", f"{', '.join(f'{c} {"long" if c == "entry_no" else "string"}' for c in CHAINED)}, entry_hash string")
+
+    def _move(self, run: str, states: list[str]) -> None:
+        """Adds moves of a run to the log, each chained to the one before."""
+        last = self.log().where(F.col("migration_id") == run).agg(F.max(F.struct("entry_no", "new_state", "entry_hash")).alias("e")).collect()[0]["e"]
+        number, state, before = last or (-1, "DRAFT", "")
+        for new in states:
+            number += 1
+            entry = chained(before, {"entry_no": number, "migration_id": run, "action": "MOVE", "old_state": state, "new_state": new, "at": datetime.now(timezone.utc).isoformat()}, self.spark)
+            before, state = entry.collect()[0]["entry_hash"], new
+            append_json(entry, f"{self.root}/log")
+
+    def migrate(
+        self, migration_id: str, table: str, rows: DataFrame, key: str, order: list, transformations: dict[str, str] | None = None, batch_size: int = BATCH_SIZE, stop_after: int | None = None
+    ) -> dict:
+        """Loads the batches that are left, or the first `stop_after` of them, after which the run is PAUSED if some are
+        left. order: which of the rows of a key is the last. Rows and batch_size must be those of the runs before."""
+        run, number = f"{migration_id}/{table}", f"{SYSTEM_PREFIX}batch"
+        mine = self.checkpoints().where((F.col("migration_id") == migration_id) & (F.col("table_name") == table))
+        done, appended = mine.agg(F.max("batch"), F.count(F.lit(1))).collect()[0]
+        first = 0 if done is None else done + 1
+        batches = max(1, -(-rows.count() // batch_size))
+        if first >= batches:
             return {"state": "COMPLETE", "skipped": True}
-        good, bad = transform(rows, transformations or {})
+        until = batches if stop_after is None else min(batches, first + stop_after)
+        self._move(run, ["RECOVERING", "RUNNING"] if done is not None else ["VALIDATING", "PLANNED", "APPROVED", "RUNNING"])
+        numbered = numbered_batches(rows, [key, *order], batch_size).withColumnRenamed("batch", number)
+        good, bad = transform(numbered.where(F.col(number).between(first, until - 1)), transformations or {})
         store = VersionedTable(self.spark, f"{self.root}/tables/{table}")
-        current = store.read()
-        loaded = last_wins(good, key, order) if current is None else upsert(current, good, key, order)
-        version = store.write(loaded)
-        bad.withColumns({"migration_id": F.lit(migration_id), "table_name": F.lit(table)}).write.mode("append").parquet(f"{self.root}/quarantine/{table}")
-        n_good, n_bad = good.count(), bad.count()
-        entry = {"migration_id": migration_id, "table_name": table, "loaded": n_good, "failed": n_bad, "version": version, "append_no": done.count()}
-        append_json(self.spark.createDataFrame([entry], "migration_id string, table_name string, loaded long, failed long, version long, append_no long"), log)
-        return {"state": "COMPLETE", "skipped": False, "loaded": n_good, "failed": n_bad}
+        current, fresh = store.read(), good.drop(number)
+        version = store.write(last_wins(fresh, key, order) if current is None else upsert(current, fresh, key, order))
+        # A folder for each run, so that one that is run again replaces what it left.
+        bad.withColumns({"migration_id": F.lit(migration_id), "table_name": F.lit(table)}).write.mode("overwrite").parquet(f"{self.root}/quarantine/{table}/run={migration_id}-{first}")
+        kept = [c for c in good.columns if not c.startswith(SYSTEM_PREFIX)]
+        told = good.groupBy(F.col(number).alias("batch")).agg(F.count(F.lit(1)).alias("loaded"), F.hex(F.bit_xor(F.xxhash64(row_fingerprint(kept)))).alias("checksum"))
+        failed = bad.groupBy(F.col(number).alias("batch")).agg(F.count(F.lit(1)).alias("failed"))
+        nought = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+        every = self.spark.range(first, until).select(F.col("id").alias("batch")).join(told, "batch", "left").join(failed, "batch", "left")
+        points = every.select(
+            F.lit(migration_id).alias("migration_id"), F.lit(table).alias("table_name"), "batch", nought("loaded"), nought("failed"), "checksum",
+            F.lit(version).cast("long").alias("version"), (F.col("batch") - first + appended).alias("append_no"),
+        )
+        append_json(points, f"{self.root}/checkpoints")
+        state = "COMPLETE" if until == batches else "PAUSED"
+        self._move(run, ["PAUSED"] if state == "PAUSED" else ["RECONCILING", "VERIFIED", "COMPLETE"])
+        sums = self.checkpoints().where((F.col("migration_id") == migration_id) & (F.col("table_name") == table) & (F.col("batch") >= first)).agg(F.sum("loaded"), F.sum("failed")).collect()[0]
+        return {"state": state, "skipped": False, "loaded": sums[0], "failed": sums[1], "checkpoint": until - 1}
 
     def read(self, table: str) -> DataFrame | None:
-        from paritas.sources.sinks import VersionedTable
-
         return VersionedTable(self.spark, f"{self.root}/tables/{table}").read()

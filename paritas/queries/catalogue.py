@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paritas.functions.hashing import canonical_json, labelled_fingerprint, sha256_text
@@ -12,6 +12,7 @@ from paritas.functions.names import is_kind, likeness, without_suffix
 from paritas.functions.semantic import normalize_number_text
 from paritas.operators import cdc, evidence, load, profile, reconcile, scores, semantic_compare, temporal, whatif
 from paritas.operators.modernize import modernize
+from paritas.plans import governance, registry
 from paritas.plans.dsl import compile_expression, transform
 from paritas.sources.tables import table
 
@@ -295,6 +296,14 @@ def dsl_quarantine(spark, d):
     return load.audit_balance(good, bad)
 
 
+@query(f"""SELECT c_custkey, {_BIRTHDAY} AS date_of_birth, upper(trim({_MESSY}, ' ' || chr(9))) AS label, 'date_of_birth=PARSE_DATE(dob), label=UPPER(name)' AS lineage FROM customer WHERE c_custkey % 17 <> 0""")
+def dsl_transform(spark, d):
+    """The rows that a transformation lets pass, with what made each of their fields."""
+    good, _ = transform(messy_customers(spark, d), {"date_of_birth": 'PARSE_DATE(source.dob, "DD/MM/YYYY")', "label": "UPPER(source.name)"})
+    made = F.transform("_par_lineage", lambda x: F.concat(x["field"], F.lit("="), x["operation"], F.lit("("), F.array_join(x["inputs"], ", "), F.lit(")")))
+    return good.select("c_custkey", "date_of_birth", "label", F.array_join(made, ", ").alias("lineage"))
+
+
 _STATUS = """CASE WHEN upper(trim(status, ' ' || chr(9) || chr(10) || chr(13))) IN ('Y', 'YES', '1', 'ACTIVE', 'A') THEN 'ACTIVE'
  WHEN upper(trim(status, ' ' || chr(9) || chr(10) || chr(13))) IN ('N', 'NO', '0', 'CLOSED', 'X') THEN 'CLOSED' ELSE 'UNKNOWN' END"""
 
@@ -394,20 +403,38 @@ def prof_relationships(spark, d):
     return r.withColumns({c: F.round(c, 6) for c in ("coverage", "confidence")})
 
 
-_BEFORE = [("t", "a", "integer"), ("t", "b", "number"), ("t", "c", "string"), ("u", "x", "string"), ("w", "k", "integer")]
-_AFTER = [("t", "a", "string"), ("t", "b", "string"), ("t", "d", "string"), ("v", "y", "string"), ("w", "k", "integer")]
-_SCHEMA = "table_name string, column_name string, data_type string"
+def columns_of_parts(spark: SparkSession, d: str, later: bool = False) -> DataFrame:
+    """part as the columns of tables: brands are tables, sizes columns; later some of both have other names or types."""
+    size = F.col("p_size")
+    kind = F.when(size % 3 == 0, "number").when(size % 3 == 1, "string").otherwise("integer")
+    table_name, column = F.col("p_brand"), F.concat(F.lit("c"), size)
+    if later:
+        table_name = F.when(F.col("p_brand").endswith("1"), F.concat("p_brand", F.lit("x"))).otherwise(F.col("p_brand"))
+        column, kind = F.when(size % 11 == 0, F.concat(F.lit("d"), size)).otherwise(column), F.when(size % 7 == 0, "string").otherwise(kind)
+    return table(spark, d, "part").select(table_name.alias("table_name"), column.alias("column_name"), kind.alias("data_type")).distinct()
+
+
+_KINDS_OF_PARTS = "CASE p_size % 3 WHEN 0 THEN 'number' WHEN 1 THEN 'string' ELSE 'integer' END"
+_COLUMNS_OF_PARTS = f"""a AS (SELECT DISTINCT p_brand AS t, 'c' || p_size AS c, {_KINDS_OF_PARTS} AS k FROM part),
+  b AS (SELECT DISTINCT CASE WHEN p_brand LIKE '%1' THEN p_brand || 'x' ELSE p_brand END AS t, CASE WHEN p_size % 11 = 0 THEN 'd' ELSE 'c' END || p_size AS c, CASE WHEN p_size % 7 = 0 THEN 'string' ELSE {_KINDS_OF_PARTS} END AS k FROM part)"""
 
 
-@query("""SELECT * FROM (VALUES ('t', 'a', 'DATATYPE_CHANGED', 'WARNING'), ('t', 'b', 'DATATYPE_CHANGED', 'CRITICAL'), ('t', 'c', 'COLUMN_REMOVED', 'BREAKING'), ('t', 'd', 'COLUMN_ADDED', 'SAFE'),
-  ('u', NULL, 'TABLE_REMOVED', 'CRITICAL'), ('v', NULL, 'TABLE_ADDED', 'SAFE')) AS x(table_name, column_name, kind, severity)""")
+@query(f"""WITH {_COLUMNS_OF_PARTS} SELECT DISTINCT t AS table_name, CAST(NULL AS varchar) AS column_name, 'TABLE_REMOVED' AS kind, 'CRITICAL' AS severity FROM a WHERE t NOT IN (SELECT t FROM b)
+  UNION ALL SELECT DISTINCT t, NULL, 'TABLE_ADDED', 'SAFE' FROM b WHERE t NOT IN (SELECT t FROM a)
+  UNION ALL SELECT t, c, 'COLUMN_REMOVED', 'BREAKING' FROM a WHERE t IN (SELECT t FROM b) AND (t, c) NOT IN (SELECT (t, c) FROM b)
+  UNION ALL SELECT t, c, 'COLUMN_ADDED', 'SAFE' FROM b WHERE t IN (SELECT t FROM a) AND (t, c) NOT IN (SELECT (t, c) FROM a)
+  UNION ALL SELECT t, c, 'DATATYPE_CHANGED', CASE WHEN 'number' IN (a.k, b.k) AND 'string' IN (a.k, b.k) THEN 'CRITICAL' ELSE 'WARNING' END FROM a JOIN b USING (t, c) WHERE a.k <> b.k""")
 def prof_schema_drift(spark, d):
-    return profile.compare_schemas(spark.createDataFrame(_BEFORE, _SCHEMA), spark.createDataFrame(_AFTER, _SCHEMA))
+    return profile.compare_schemas(columns_of_parts(spark, d), columns_of_parts(spark, d, True))
 
 
-@query("""SELECT * FROM (VALUES ('REPRESENTATION_CHANGE', 't.c', 't.d', false), ('STRUCTURAL_CHANGE', 'u.x', NULL, true), ('STRUCTURAL_CHANGE', NULL, 'v.y', NULL)) AS x(kind, source, target, semantic_loss)""")
+@query(f"""WITH {_COLUMNS_OF_PARTS}, m AS (SELECT * FROM (VALUES ('Brand#12.c11', 'Brand#12.d11'), ('Brand#13.c22', 'Brand#13.d22')) AS v(source, target))
+  SELECT CASE WHEN m.target IS NULL THEN 'STRUCTURAL_CHANGE' ELSE 'REPRESENTATION_CHANGE' END AS kind, x.source, m.target, m.target IS NULL AS semantic_loss
+    FROM (SELECT t || '.' || c AS source FROM a WHERE (t, c) NOT IN (SELECT (t, c) FROM b)) x LEFT JOIN m ON m.source = x.source
+  UNION ALL SELECT 'STRUCTURAL_CHANGE', NULL, t || '.' || c, NULL FROM b WHERE (t, c) NOT IN (SELECT (t, c) FROM a) AND t || '.' || c NOT IN (SELECT target FROM m)""")
 def prof_semantic_diff(spark, d):
-    return profile.semantic_diff(spark.createDataFrame(_BEFORE, _SCHEMA), spark.createDataFrame(_AFTER, _SCHEMA), {"t.c": "t.d"})
+    mappings = {"Brand#12.c11": "Brand#12.d11", "Brand#13.c22": "Brand#13.d22"}
+    return profile.semantic_diff(columns_of_parts(spark, d), columns_of_parts(spark, d, True), mappings)
 
 
 @query("""WITH t AS (SELECT 'legacy_customers' AS t, unnest(['customer_no', 'full_name', 'dob', 'sex', 'status', 'phone', 'country_code', 'updated_at']) AS c)
@@ -423,11 +450,19 @@ def prof_findings(spark, d):
     return found.select("category", "subject", "status", F.round("confidence", 6).alias("confidence"))
 
 
-@query("""SELECT source_column, target_column, CAST(confidence AS double) AS confidence, status FROM (VALUES ('customer_no', 'customer_id', 0.5333, 'REVIEW_REQUIRED'), ('dob', 'customer_id', 0.3, 'REVIEW_REQUIRED'), ('status', 'status', 1.0, 'PROPOSED')) AS x(source_column, target_column, confidence, status)""")
+_RENAMED = "CASE WHEN column_name LIKE '%_no' THEN replace(column_name, '_no', '_id') WHEN column_name = 'dob' THEN 'date_of_birth' ELSE column_name END"
+
+
+@query(f"""WITH s AS (SELECT DISTINCT column_name AS a FROM column_profiles), t AS (SELECT DISTINCT {_RENAMED} AS b FROM column_profiles),
+  x AS (SELECT a, b, CASE WHEN b LIKE '%date%' THEN 'date' ELSE 'string' END AS k, len(list_intersect(string_split(lower(a), '_'), string_split(lower(b), '_'))) / len(list_distinct(list_concat(string_split(lower(a), '_'), string_split(lower(b), '_')))) AS likeness FROM s, t),
+  y AS (SELECT a, b, 0.7 * likeness + 0.3 * CAST(k = 'string' AS integer) AS c FROM x), z AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(c, 9) DESC, b) AS r FROM y)
+  SELECT a AS source_column, b AS target_column, round(CAST(c AS double), 4) AS confidence, CASE WHEN c < 0.98 THEN 'REVIEW_REQUIRED' ELSE 'PROPOSED' END AS status FROM z WHERE r = 1""")
 def prof_mappings(spark, d):
-    columns = "position int, name string, data_type string"
-    source = spark.createDataFrame([(0, "customer_no", "string"), (1, "dob", "string"), (2, "status", "string")], columns)
-    target = spark.createDataFrame([(0, "customer_id", "string"), (1, "date_of_birth", "string"), (2, "status", "string")], columns)
+    p = table(spark, d, "column_profiles")
+    source = p.select(F.lit(0).alias("position"), F.col("column_name").alias("name"), F.lit("string").alias("data_type")).distinct()
+    names = p.select(F.expr(_RENAMED).alias("name")).distinct()
+    place = F.row_number().over(Window.orderBy("name"))  # names of columns, a few
+    target = names.select(place.alias("position"), "name", F.when(F.col("name").contains("date"), "date").otherwise("string").alias("data_type"))
     return profile.propose_mappings(source, target)
 
 
@@ -496,13 +531,13 @@ def prof_genome_summary(spark, d):
     return profile.genome_summary(profile.genome(tables)).select("entity_count", "column_count", "relationship_count", "row_count")
 
 
-@query("""WITH n AS (SELECT unnest(['n_nationkey', 'customer_no', 'Updated_AT', 'tax_rate', 'acct_ref', 'order_number']) AS name)
+@query("""WITH n AS (SELECT DISTINCT column_name AS name FROM column_profiles)
   SELECT name, regexp_matches(name, '(^|_)(id|no|number|code|key|ref)(_|$)', 'i') AS identifier, regexp_replace(lower(name), '_(ref|id|no|number|key)$', '') AS bare,
-  CAST(len(list_filter(['customer', 'number'], lambda x: list_contains(string_split(lower(name), '_'), x))) AS double) / len(list_distinct(list_concat(['customer', 'number'], string_split(lower(name), '_')))) AS likeness FROM n""")
+  CAST(len(list_filter(['customer', 'date', 'code'], lambda x: list_contains(string_split(lower(name), '_'), x))) AS double) / len(list_distinct(list_concat(['customer', 'date', 'code'], string_split(lower(name), '_')))) AS likeness FROM n""")
 def name_functions(spark, d):
     n = F.col("name")
-    names = spark.createDataFrame([(x,) for x in ("n_nationkey", "customer_no", "Updated_AT", "tax_rate", "acct_ref", "order_number")], "name string")
-    return names.select("name", is_kind(n, "identifier").alias("identifier"), without_suffix(n).alias("bare"), likeness(F.lit("customer_number"), n).alias("likeness"))
+    names = table(spark, d, "column_profiles").select(F.col("column_name").alias("name")).distinct()
+    return names.select("name", is_kind(n, "identifier").alias("identifier"), without_suffix(n).alias("bare"), likeness(F.lit("customer_date_code"), n).alias("likeness"))
 
 
 # --- changes ----------------------------------------------------------------------------------------------------------
@@ -593,7 +628,11 @@ SQL["cdc_stream_replay"] = SQL["cdc_replay_lenient"]
 # --- meanings ---------------------------------------------------------------------------------------------------------
 
 
-@query("""SELECT CAST(p_partkey AS varchar) AS k, p_partkey % 3 = 2 AS byte_equivalent, p_partkey % 3 <> 1 AS semantic_equivalent FROM part""")
+@query("""WITH p AS (SELECT p_partkey, p_name, CAST(p_size AS varchar) AS size, CASE p_partkey % 3 WHEN 0 THEN '  ' || upper(p_name) || chr(9) WHEN 1 THEN p_name || '!' ELSE p_name END AS name2,
+    CASE WHEN p_partkey % 3 = 0 THEN p_size || '.0' ELSE CAST(p_size AS varchar) END AS size2 FROM part)
+  SELECT CAST(p_partkey AS varchar) AS k, p_partkey % 3 = 2 AS byte_equivalent, p_partkey % 3 <> 1 AS semantic_equivalent, sha256(json_object('p_name', p_name, 'p_partkey', p_partkey, 'size', size)) AS source_byte_hash,
+    sha256(json_object('p_name', name2, 'p_partkey', p_partkey, 'size', size2)) AS target_byte_hash, sha256(json_object('p_name', lower(p_name), 'p_partkey', CAST(p_partkey AS varchar), 'size', size)) AS source_semantic_hash,
+    sha256(json_object('p_name', lower(p_name) || CASE WHEN p_partkey % 3 = 1 THEN '!' ELSE '' END, 'p_partkey', CAST(p_partkey AS varchar), 'size', size)) AS target_semantic_hash FROM p""")
 def sem_compare(spark, d):
     k = F.col("p_partkey")
     a = table(spark, d, "part").select("p_partkey", "p_name", F.col("p_size").cast("string").alias("size"))
@@ -701,6 +740,135 @@ def evidence_conflict(spark, d):
     return evidence.conflict(r, claims)[1]
 
 
+def evidence_records(spark: SparkSession, d: str) -> DataFrame:
+    """events as evidence for their types, the more trusted the greater their value."""
+    return table(spark, d, "events").select(
+        F.col("event_id").alias("evidence_id"), F.col("event_type").alias("subject"), (F.lit(1.0) - F.pmod("event_id", F.lit(7)) / 10).alias("confidence"),
+        F.col("ts").alias("created_at"), F.lit(None).cast("timestamp").alias("last_verified_at"),
+    )
+
+
+_EVIDENCE = "SELECT event_id AS evidence_id, event_type AS subject, 1.0 - (event_id % 7) / 10 AS confidence, ts AS created_at FROM events"
+
+
+@query(f"""SELECT evidence_id, subject, round(CAST(CASE WHEN evidence_id % 20 = 10 THEN 0.5 ELSE confidence END AS double), 6) AS confidence,
+  CASE WHEN evidence_id % 10 = 0 THEN created_at + INTERVAL 1 DAY END AS last_verified_at, CASE WHEN evidence_id % 15 = 0 THEN created_at END AS superseded_at FROM ({_EVIDENCE})""")
+def evidence_verified_and_superseded(spark, d):
+    r = evidence_records(spark, d)
+    i, day = F.col("evidence_id"), F.expr("interval 1 day")
+    checks = r.where("evidence_id % 10 = 0").select("evidence_id", (F.col("created_at") + day).alias("verified_at"), F.when(i % 20 == 10, 0.5).alias("confidence"))
+    checks = checks.unionAll(checks.withColumn("verified_at", F.col("verified_at") - day))
+    out = evidence.superseded(evidence.verified(r, checks), r.where("evidence_id % 15 = 0").select("evidence_id", F.col("created_at").alias("at")))
+    return out.select("evidence_id", "subject", F.round("confidence", 6).alias("confidence"), "last_verified_at", "superseded_at")
+
+
+@query(f"SELECT evidence_id, subject FROM ({_EVIDENCE}) WHERE subject IN (SELECT event_type FROM events WHERE event_id IN (1, 2))")
+def evidence_of_subjects(spark, d):
+    subjects = table(spark, d, "events").where("event_id in (1, 2)").select(F.col("event_type").alias("subject"))
+    return evidence.of_subjects(evidence_records(spark, d), subjects).select("evidence_id", "subject")
+
+
+@query(f"""SELECT evidence_id, round(c, 6) AS decayed FROM (SELECT evidence_id, confidence * pow(0.5, greatest(0, (epoch_us(TIMESTAMP '2024-02-01') - epoch_us(created_at)) / 86400e6) / 30) AS c FROM ({_EVIDENCE}))
+  ORDER BY c DESC, evidence_id LIMIT 50""")
+def evidence_most_trusted(spark, d):
+    ranked = evidence.by_confidence(evidence_records(spark, d), "2024-02-01 00:00:00").limit(50)
+    return ranked.select("evidence_id", F.round("decayed_confidence", 6).alias("decayed"))
+
+
+@query("""WITH f AS (SELECT user_id, max(event_id) FILTER (event_type = 'error') AS fell FROM events GROUP BY 1),
+  g AS (SELECT e.user_id, fell, count(*) FILTER (event_type = 'purchase' AND (fell IS NULL OR event_id > fell)) AS gains,
+    max_by(event_type, event_id) FILTER (event_type IN ('error', 'purchase')) AS last FROM events e JOIN f USING (user_id) GROUP BY 1, 2)
+  SELECT user_id AS assumption_id, round(least(1.0, CASE WHEN fell IS NULL THEN 0.9 ELSE 0 END + 0.05 * gains)::double, 6) AS confidence,
+    CASE last WHEN 'purchase' THEN 'VALIDATED' WHEN 'error' THEN 'INVALIDATED' ELSE 'INFERRED' END AS status FROM g""")
+def assume_states(spark, d):
+    e = table(spark, d, "events")
+    kind = F.when(F.col("event_type") == "error", "contradicted").when(F.col("event_type") == "purchase", "validated").otherwise("seen")
+    events = e.select(F.col("user_id").alias("assumption_id"), F.col("event_id").alias("event_no"), kind.alias("kind"))
+    held = e.select(F.col("user_id").alias("assumption_id")).distinct().select("assumption_id", F.lit(0.9).alias("confidence"), F.lit("INFERRED").alias("status"))
+    return evidence.assumption_states(held, events).withColumn("confidence", F.round("confidence", 6))
+
+
+@query("""WITH l AS (SELECT user_id, max_by(event_type, event_id) FILTER (event_type IN ('error', 'purchase')) AS last FROM events GROUP BY 1)
+  SELECT DISTINCT c_custkey % 200 AS assumption_id, c_custkey AS result_id FROM customer WHERE c_custkey % 200 IN (SELECT user_id FROM l WHERE last = 'error')""")
+def assume_affected(spark, d):
+    e = table(spark, d, "events")
+    kind = F.when(F.col("event_type") == "error", "contradicted").when(F.col("event_type") == "purchase", "validated")
+    events = e.select(F.col("user_id").alias("assumption_id"), F.col("event_id").alias("event_no"), kind.alias("kind"))
+    held = e.select(F.col("user_id").alias("assumption_id")).distinct().select("assumption_id", F.lit(0.9).alias("confidence"), F.lit("INFERRED").alias("status"))
+    depends = table(spark, d, "customer").select((F.col("c_custkey") % 200).alias("assumption_id"), F.col("c_custkey").alias("result_id"))
+    return evidence.affected_results(evidence.assumption_states(held, events), depends)
+
+
+def mapping_events(spark: SparkSession, d: str) -> DataFrame:
+    action = F.when(F.col("event_type").isin("purchase", "error"), "approve").otherwise("propose")
+    return table(spark, d, "events").select(F.col("user_id").alias("mapping_id"), F.col("event_id").alias("event_no"), action.alias("action"), F.col("event_type").alias("actor"))
+
+
+_VERSIONS = """k AS (SELECT user_id AS mapping_id, event_id AS event_no, event_type AS actor, event_type IN ('purchase', 'error') AS approves,
+    coalesce(lag(event_type NOT IN ('purchase', 'error')) OVER (PARTITION BY user_id ORDER BY event_id), false) AS waiting FROM events),
+  v AS (SELECT mapping_id, event_no, CASE WHEN NOT approves THEN 'PROPOSED' WHEN waiting THEN 'APPROVED' ELSE 'REFUSED' END AS status,
+    CAST(coalesce(sum(CASE WHEN approves AND waiting THEN 1 ELSE 0 END) OVER (PARTITION BY mapping_id ORDER BY event_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+      + CASE WHEN approves AND NOT waiting THEN 0 ELSE 1 END AS integer) AS version, CASE WHEN approves AND waiting THEN actor END AS approved_by FROM k)"""
+
+
+@query(f"WITH {_VERSIONS} SELECT * FROM v")
+def map_versions(spark, d):
+    return registry.mapping_versions(mapping_events(spark, d)).select("mapping_id", "event_no", "status", "version", "approved_by")
+
+
+@query(f"""WITH {_VERSIONS}, l AS (SELECT *, row_number() OVER (PARTITION BY mapping_id ORDER BY event_no DESC) AS r FROM v WHERE status <> 'REFUSED')
+  SELECT mapping_id, event_no, version, approved_by FROM l WHERE r = 1 AND status = 'APPROVED'""")
+def map_approved(spark, d):
+    return registry.approved_mappings(mapping_events(spark, d)).select("mapping_id", "event_no", "version", "approved_by")
+
+
+_STATE_OF = {"signup": "VALIDATING", "view": "PLANNED", "click": "APPROVED", "purchase": "RUNNING", "error": "FAILED"}
+_STATE_CASE = "CASE event_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in _STATE_OF.items()) + " END"
+
+
+@query(f"""WITH m AS (SELECT user_id AS migration_id, event_id AS entry_no, {_STATE_CASE} AS new_state FROM events),
+  o AS (SELECT *, coalesce(lag(new_state) OVER (PARTITION BY migration_id ORDER BY entry_no), 'DRAFT') AS old_state FROM m)
+  SELECT *, old_state || '>' || new_state IN ({", ".join(f"'{a}>{b}'" for a, bs in governance.STATES.items() for b in bs)}) AS allowed FROM o""")
+def gov_state_moves(spark, d):
+    states = F.create_map(*[F.lit(x) for pair in _STATE_OF.items() for x in pair])
+    log = table(spark, d, "events").select(F.col("user_id").alias("migration_id"), F.col("event_id").alias("entry_no"), F.try_element_at(states, F.col("event_type")).alias("new_state"))
+    return governance.state_moves(log).select("migration_id", "entry_no", "old_state", "new_state", "allowed")
+
+
+_ROLE = "CASE n_nationkey % 7 WHEN 0 THEN 'ADMIN' WHEN 1 THEN 'OPERATOR' WHEN 2 THEN 'AUDITOR' WHEN 3 THEN 'READ_ONLY' WHEN 4 THEN 'APPROVER' WHEN 5 THEN 'MIGRATION_ENGINEER' ELSE 'NOBODY' END"
+_ACTION = "CASE n_regionkey WHEN 0 THEN 'inspect' WHEN 1 THEN 'migrate' WHEN 2 THEN 'approve_cutover' WHEN 3 THEN 'pause' ELSE 'audit' END"
+
+
+@query(f"""WITH q AS (SELECT n_nationkey, {_ROLE} AS role, {_ACTION} AS action FROM nation)
+  SELECT *, role = 'ADMIN' OR role || ':' || action IN ({", ".join(f"'{a}:{b}'" for a, bs in governance.ROLES.items() for b in bs)}) AS allowed FROM q""")
+def gov_permitted(spark, d):
+    return governance.permitted(table(spark, d, "nation").select("n_nationkey", F.expr(_ROLE).alias("role"), F.expr(_ACTION).alias("action")))
+
+
+@query("""SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_orderkey % 4 = 0 THEN 'reconciliation did not pass' END, CASE WHEN o_orderkey % 5 > 2 THEN 'change lag ' || o_orderkey % 5 || ' above 2' END,
+   CASE WHEN o_orderkey % 6 = 1 THEN 'breaking schema change' END, CASE WHEN o_orderkey % 7 = 1 THEN 'personal data in logs' END,
+   CASE WHEN o_orderkey % 8 = 1 AND o_orderkey % 3 <> 0 THEN 'risk HIGH needs an approval' END], lambda x: x IS NOT NULL), '; ') AS reasons,
+   CASE WHEN o_orderkey % 4 = 0 OR o_orderkey % 5 > 2 OR o_orderkey % 6 = 1 OR o_orderkey % 7 = 1 OR (o_orderkey % 8 = 1 AND o_orderkey % 3 <> 0) THEN 0 ELSE 10 END AS steps FROM orders""")
+def gov_gate(spark, d):
+    k = F.col("o_orderkey")
+    reports = table(spark, d, "orders").select(
+        k, (k % 4 != 0).alias("reconciled"), (k % 5).alias("cdc_lag"), F.lit(2).alias("max_lag"), (k % 6 == 1).alias("breaking_change"), (k % 7 == 1).alias("pii_logging"),
+        F.when(k % 8 == 1, "HIGH").otherwise("LOW").alias("risk_level"), F.when(k % 3 == 0, "someone").alias("approved_by"),
+    )
+    return governance.gate(reports).select("o_orderkey", F.concat_ws("; ", "reasons").alias("reasons"), F.size("steps").alias("steps"))
+
+
+@query("""WITH m AS (SELECT CASE event_type WHEN 'click' THEN 'counter' WHEN 'view' THEN 'gauge' ELSE 'timer' END AS kind, event_type AS name, event_id AS pos, value FROM events WHERE value IS NOT NULL),
+  t AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY name) AS c FROM m WHERE kind = 'timer')
+  SELECT kind, name, round(sum(value), 4) AS value, NULL AS n, NULL AS least, NULL AS greatest, NULL AS mean, NULL AS p50 FROM m WHERE kind = 'counter' GROUP BY 1, 2
+  UNION ALL SELECT kind, name, round(max_by(value, pos), 4), NULL, NULL, NULL, NULL, NULL FROM m WHERE kind = 'gauge' GROUP BY 1, 2
+  UNION ALL SELECT kind, name, NULL, any_value(c), min(value), max(value), round(avg(value), 4), max(value) FILTER (i = c // 2) FROM t GROUP BY 1, 2""")
+def obs_measured(spark, d):
+    kind = F.when(F.col("event_type") == "click", "counter").when(F.col("event_type") == "view", "gauge").otherwise("timer")
+    m = governance.measured(table(spark, d, "events").select(kind.alias("kind"), F.col("event_type").alias("name"), F.col("event_id").alias("at"), "value"))
+    return m.withColumns({c: F.round(c, 4) for c in ("value", "mean")})
+
+
 def audit_entries(spark: SparkSession, d: str) -> DataFrame:
     """nation as a ledger of one chain a region: the links are right but for entries of every tenth nation."""
     n = F.col("n_nationkey")
@@ -740,31 +908,89 @@ def what_reconstruct(spark, d):
     return whatif.reconstruct_state(s, invariants=["type", "balance"]).withColumn("confidence", F.round("confidence", 6))
 
 
-_FACTORS = [("a", "volume", 1.0), ("a", "pii_exposure", 0.9), ("a", "inferred_mapping_confidence", 1.0), ("b", "volume", 2.0), ("b", "schema_complexity", 1.0), ("b", "cdc_lag", 1.0), ("b", "pii_exposure", 1.0), ("c", "unknown", 1.0), ("c", "inferred_mapping_confidence", 0.9)]
+_FACTOR = "CASE n_nationkey % 9 " + " ".join(f"WHEN {i} THEN '{f}'" for i, f in enumerate(scores.WEIGHTS)) + " ELSE 'unknown' END"
 
 
-@query("""SELECT subject, CAST(score AS double) AS score, level, reasons FROM (VALUES ('a', 0.264, 'MEDIUM', '["volume","pii_exposure"]'), ('b', 0.68, 'HIGH', '["schema_complexity","volume","pii_exposure","inferred_mapping_confidence","cdc_lag"]'), ('c', 0.015, 'LOW', '[]')) AS x(subject, score, level, reasons)""")
+def _risk_sql() -> str:
+    shown = {f: (f"1 - {f}" if f == scores.INVERTED else f) for f in scores.WEIGHTS}
+    total = " + ".join(f"greatest(0, least(1, {x})) * {scores.WEIGHTS[f]}" for f, x in shown.items())
+    reasons = ", ".join(f"CASE WHEN {x} >= 0.7 THEN '{f}' END" for f, x in shown.items())
+    given = ", ".join(f"coalesce(max(v) FILTER (f = '{f}'), 0) AS {f}" for f in scores.WEIGHTS)
+    return f"""WITH g AS (SELECT s AS subject, {given} FROM (SELECT n_regionkey AS s, {_FACTOR} AS f, CAST(n_nationkey % 5 AS double) / 4 AS v FROM nation) GROUP BY 1), r AS (SELECT subject, {total} AS raw,
+      array_to_string(list_filter([{reasons}], lambda x: x IS NOT NULL), ',') AS reasons FROM g)
+      SELECT subject, round(CAST(raw AS double), 4) AS score, CASE WHEN raw >= 0.75 THEN 'CRITICAL' WHEN raw >= 0.5 THEN 'HIGH' WHEN raw >= 0.25 THEN 'MEDIUM' ELSE 'LOW' END AS level, reasons FROM r"""
+
+
+@query(_risk_sql())
 def score_risk(spark, d):
-    return scores.risk(spark.createDataFrame(_FACTORS, "subject string, factor string, value double")).withColumn("reasons", F.to_json("reasons"))
+    factors = table(spark, d, "nation").select(F.col("n_regionkey").alias("subject"), F.expr(_FACTOR).alias("factor"), ((F.col("n_nationkey") % 5) / 4).alias("value"))
+    return scores.risk(factors).withColumn("reasons", F.array_join("reasons", ","))
 
 
-@query("""SELECT * FROM (VALUES ('a', 'CERTIFIED'), ('b', 'NOT_CERTIFIED'), ('c', 'NOT_CERTIFIED'), ('d', 'NOT_CERTIFIED')) AS x(migration_id, status)""")
+@query("""SELECT o_custkey AS migration_id, CASE WHEN coalesce(bool_and(coalesce(o_orderstatus <> 'P' AND o_orderkey % 9 <> 0, false)) FILTER (o_orderkey % 2 = 0), false) THEN 'CERTIFIED' ELSE 'NOT_CERTIFIED' END AS status FROM orders GROUP BY 1""")
 def score_certification(spark, d):
-    gates = [("a", "g1", True, True), ("a", "g2", False, False), ("b", "g1", True, True), ("b", "g2", False, True), ("c", "g1", True, False), ("d", "g1", None, True)]
-    return scores.certify(spark.createDataFrame(gates, "migration_id string, name string, passed boolean, required boolean"))
+    k, status = F.col("o_orderkey"), F.col("o_orderstatus")
+    passed = F.when((status != "P") & (k % 9 != 0), True).when(k % 9 == 0, False)
+    return scores.certify(table(spark, d, "orders").select(F.col("o_custkey").alias("migration_id"), k.cast("string").alias("name"), passed.alias("passed"), (k % 2 == 0).alias("required")))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 AND p_partkey % 3 = 0 AND p_size > 5 THEN 'PASSED' ELSE 'INCONCLUSIVE' END AS status FROM part""")
+def score_run_status(spark, d):
+    k = F.col("p_partkey")
+    return table(spark, d, "part").select(k, scores.run_status(k % 2 == 0, F.when(k % 3 == 0, True), F.col("p_size") > 5, F.lit(True)).alias("status"))
+
+
+_ORDERED = ("region", "nation", "customer", "orders", "lineitem")
 
 
-@query("SELECT n_name, n_nationkey, n_regionkey FROM nation")
+@query(" UNION ALL ".join(f"SELECT {i} AS position, '{t}' AS table_name, count(*) AS rows, CAST(ceil(count(*) / 1000) AS bigint) AS batches FROM {t}" for i, t in enumerate(_ORDERED)))
+def plan_order(spark, d):
+    """The order in which tables that refer to each other load, and their batches."""
+    from paritas.plans.migration import build_plan
+
+    counts = {r["table_name"]: r["row_count"] for r in reconcile.table_counts({t: table(spark, d, t) for t in reversed(_ORDERED)}).collect()}
+    plan = build_plan(counts, list(zip(_ORDERED, _ORDERED[1:], strict=False)))
+    each = [(i, t, counts[t], build_plan({t: counts[t]}).batches) for i, t in enumerate(plan.nodes)]
+    return spark.createDataFrame(each, "position int, table_name string, rows long, batches long")
+
+
+@query("""SELECT CAST(event_id AS varchar) AS event_id, 't' AS table_name, CAST(user_id AS varchar) AS primary_key, CASE event_type WHEN 'signup' THEN 'INSERT' WHEN 'error' THEN 'DELETE' ELSE 'UPDATE' END AS operation, event_id AS sequence
+  FROM events WHERE event_type <> 'click'""")
+def cdc_normalized(spark, d):
+    """Events given as JSON texts; those of an unknown operation are left out."""
+    op = F.when(F.col("event_type") == "signup", "INSERT").when(F.col("event_type") == "error", "DELETE").when(F.col("event_type") == "click", "UPSERT").otherwise("UPDATE")
+    fields = F.struct(F.col("event_id").cast("string").alias("event_id"), F.lit("t").alias("table"), F.col("user_id").cast("string").alias("primary_key"), op.alias("operation"), F.col("event_id").alias("sequence"))
+    raw = table(spark, d, "events").select(F.to_json(fields).alias("json"))
+    return cdc.normalize_events(raw, strict=False).select("event_id", "table_name", "primary_key", "operation", "sequence")
+
+
+@query("SELECT form, n_name, CAST(n_nationkey AS varchar) AS n_nationkey, CAST(n_regionkey AS varchar) AS n_regionkey FROM nation, (VALUES ('csv'), ('lines'), ('list'), ('object'), ('log')) AS f(form)")
 def src_file_round_trip(spark, d):
-    """nation written as CSV, JSON lines and a snapshot of rows, read back through the file source."""
+    """nation written as CSV, as JSON lines, as a JSON list behind more blanks than a prefix would show, as a JSON object of
+    rows and as a log, and read back through the file source."""
     import uuid
 
     from paritas.session import shared_folder
+    from paritas.sources.files import FileSource
     from paritas.sources.sinks import append_json, read_json_log
 
     folder = f"{shared_folder(spark)}/paritas/files-{uuid.uuid4().hex}"
-    append_json(table(spark, d, "nation"), folder)
-    return read_json_log(spark, folder, "n_nationkey int, n_name string, n_regionkey int").select("n_name", "n_nationkey", "n_regionkey")
+    rows = table(spark, d, "nation").select("n_name", "n_nationkey", "n_regionkey")
+    rows.write.option("header", True).csv(f"{folder}/csv.csv")
+    rows.write.json(f"{folder}/lines.jsonl")
+    # A JSON document is one value: nation has 25 rows.
+    row = F.to_json(F.struct(*rows.columns))
+    rows.agg(F.concat(F.repeat(F.lit(" \n"), F.lit(300)), F.lit("["), F.array_join(F.collect_list(row), ", "), F.lit("]"))).write.text(f"{folder}/list.json")
+    named = F.concat(F.lit('"k'), "n_nationkey", F.lit('": '), row)
+    rows.agg(F.concat(F.lit(" {"), F.array_join(F.collect_list(named), ", "), F.lit("}"))).write.text(f"{folder}/object.json")
+    append_json(rows, f"{folder}-log")
+    source = FileSource(spark, folder)
+    found = {t: source.read(t) for t in source.tables()} | {"log": read_json_log(spark, f"{folder}-log", "n_nationkey int, n_name string, n_regionkey int")}
+    out = None
+    for form, df in found.items():
+        part = df.select(F.lit(form).alias("form"), *[F.col(c).cast("string").alias(c) for c in rows.columns])
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("""WITH i AS (SELECT range AS i FROM range(1, 1001)) SELECT count(*) + count(*) FILTER (i % 23 = 0) AS rows, count(*) FILTER (i % 11 = 0) + count(*) FILTER (i % 23 = 0 AND i % 11 = 0) AS padded,

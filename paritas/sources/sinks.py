@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,26 +14,27 @@ class SinkError(RuntimeError):
     """A sink that can't do what is asked."""
 
 
-def _fs(spark: SparkSession, path: str):
+def filesystem(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path in it."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
+    fs, p = filesystem(spark, path)
     return fs.exists(p)
 
 
 def committed(spark: SparkSession, path: str, kind: str) -> list[int]:
     """The numbers n of folders kind-n under a path that are written to the end: those with Spark's _SUCCESS."""
-    fs, p = _fs(spark, path)
+    fs, p = filesystem(spark, path)
     names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
     return sorted(int(n.rsplit("-", 1)[1]) for n in names if n.startswith(f"{kind}-") and exists(spark, f"{path}/{n}/_SUCCESS"))
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    fs, p = _fs(spark, path)
+    fs, p = filesystem(spark, path)
     fs.delete(p, True)
 
 
@@ -54,8 +56,20 @@ class VersionedTable:
         return self.spark.read.parquet(f"{self.path}/v-{known[-1] if version is None else version}")
 
     def write(self, df: DataFrame) -> int:
-        version = (self.versions() or [-1])[-1] + 1
-        df.write.mode("overwrite").parquet(f"{self.path}/v-{version}")
+        """Writes the next version. Its number is claimed by a file that only one writer can create; of two writers at
+        once the other one takes the number after, and neither overwrites. Numbers of writers that were lost stay unused."""
+        fs, p = filesystem(self.spark, self.path)
+        claims = [int(s.getPath().getName()[6:]) for s in fs.listStatus(p) if s.getPath().getName().startswith("claim-")] if fs.exists(p) else []
+        version = max([-1, *self.versions(), *claims]) + 1
+        while True:
+            try:
+                fs.create(filesystem(self.spark, f"{self.path}/claim-{version}")[1], False).close()
+                break
+            except Py4JJavaError as e:
+                if "AlreadyExists" not in str(e.java_exception):
+                    raise
+                version += 1
+        df.write.mode("errorifexists").parquet(f"{self.path}/v-{version}")
         return version
 
     def rollback(self) -> None:
@@ -90,7 +104,7 @@ def get_snapshot(spark: SparkSession, root: str, snapshot_id: str) -> DataFrame:
 
 
 def list_snapshots(spark: SparkSession, root: str) -> list[str]:
-    fs, p = _fs(spark, root)
+    fs, p = filesystem(spark, root)
     return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
 

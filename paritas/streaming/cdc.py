@@ -1,7 +1,8 @@
 """Change events as a stream: deduplication, gaps and a state kept up to date.
 
 Streams differ from the batch operators in one way: deduplication remembers an event_id for as long as the watermark
-says, while the batch remembers all of them. Replay is exact all the same, since it is idempotent.
+says, while the batch remembers all of them. Replay is exact all the same, since it is idempotent. No event is lost: those
+that come too late to be told from repeats are kept apart.
 """
 
 from __future__ import annotations
@@ -17,10 +18,33 @@ from paritas.sources.sinks import committed, remove
 
 
 def deduplicated_stream(events: DataFrame, time: str, within: str = "1 day") -> DataFrame:
-    """The first of events with one event_id that arrive within the time; later ones than the watermark are dropped."""
+    """The first of events with one event_id that arrive within the time; later ones than the watermark are dropped, so
+    where they are wanted take deduplicate_to."""
     return events.withWatermark(time, within).dropDuplicatesWithinWatermark(["event_id"])
 
 
+def deduplicate_to(events: DataFrame, path: str, checkpoint: str, time: str, within: str = "1 day", trigger: dict | None = None):
+    """Starts a query that writes the first of events with one event_id to path/accepted, and events later than `within`
+    before the newest one seen to path/quarantine, where they wait for a decision. Both have a folder for each
+    micro-batch, which a batch that is run again replaces. An event without a time is never late. Only what was accepted
+    since the watermark is read again, so the memory of ids is as long as that time."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        known = [f"{path}/accepted/batch-{n}" for n in committed(spark, f"{path}/accepted", "batch") if n < batch_id]
+        before = spark.read.schema(batch.schema).parquet(*known) if known else batch.limit(0)
+        mark = before.agg(F.max(time).cast("timestamp") - F.expr(f"interval {within}")).collect()[0][0]
+        late = F.coalesce(F.col(time) < F.lit(mark), F.lit(False)) if mark is not None else F.lit(False)
+        batch.where(late).write.mode("overwrite").parquet(f"{path}/quarantine/batch-{batch_id}")
+        recent = (before.where(F.col(time).isNull() | (F.col(time) >= F.lit(mark))) if mark is not None else before).select("event_id")
+        whole = F.struct(*batch.columns)
+        first = batch.where(~late).join(recent, "event_id", "left_anti").groupBy("event_id").agg(F.min(whole).alias("e"))
+        first.select("e.*").write.mode("overwrite").parquet(f"{path}/accepted/batch-{batch_id}")
+
+    writer = events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
 STATE = "table_name string, primary_key string, sequence long, event_id string, row string"
 
 
