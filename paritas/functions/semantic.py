@@ -65,9 +65,10 @@ def casefold(c: Column) -> Column:
     """A text without differences of case: Unicode's full case folding, also of letters that fold to several."""
     one, to, several = _foldings()
     plain = F.translate(c, one, to)
-    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in several.items()])
-    unfolded = F.aggregate(pairs, plain, lambda text, p: F.replace(text, p["a"], p["b"]))
-    return F.when(plain.rlike("[" + "".join(several) + "]"), unfolded).otherwise(plain)
+    pairs = F.split(F.lit("\n".join(f"{a}\t{b}" for a, b in several.items())), "\n")
+    unfolded = F.aggregate(pairs, plain, lambda text, p: F.replace(text, F.substring_index(p, "\t", 1), F.substring_index(p, "\t", -1)))
+    ascii_only = F.octet_length(c) == F.char_length(c)
+    return F.when(ascii_only, F.lower(c)).when(plain.rlike("[" + "".join(several) + "]"), unfolded).otherwise(plain)
 
 
 def normalize_text(c: Column) -> Column:

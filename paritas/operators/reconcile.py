@@ -130,6 +130,13 @@ def duplicate_keys(df: DataFrame, key: Column) -> DataFrame:
     return df.groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+def integrity_debt(df: DataFrame, key: Column) -> DataFrame:
+    """One row: repeated_keys and rows_beyond, the rows that a load which keeps one a key collapses. A null key is a key."""
+    n = F.col("n")
+    found = duplicate_keys(df, key).agg(F.count(F.lit(1)).alias("repeated_keys"), F.coalesce(F.sum(n - 1), F.lit(0)).alias("rows_beyond"))
+    return found.select("repeated_keys", "rows_beyond")
+
+
 def referential_errors(child: DataFrame, key: Column, reference: Column, parents: DataFrame, parent_key: Column) -> DataFrame:
     """child_key, reference of child rows whose non-null reference, as text, is no parent key. The distinct references
     are anti-joined and joined back salted, so a hot reference is no single task."""

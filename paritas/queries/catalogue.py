@@ -110,6 +110,11 @@ def rec_duplicate_keys(spark, d):
     return reconcile.duplicate_keys(table(spark, d, "lineitem"), F.concat_ws("-", "l_orderkey", "l_linenumber"))
 
 
+@query("SELECT count(*) AS repeated_keys, CAST(sum(n - 1) AS bigint) AS rows_beyond FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)")
+def rec_integrity_debt(spark, d):
+    return reconcile.integrity_debt(table(spark, d, "lineitem"), F.concat_ws("-", "l_orderkey", "l_linenumber"))
+
+
 _DELTAS = """SELECT s.name, round(s.v, 4) AS source_value, round(t.v, 4) AS target_value, round(t.v - s.v, 4) AS delta FROM
  (UNPIVOT (SELECT {e} FROM {a}) ON COLUMNS(*) INTO NAME name VALUE v) s JOIN (UNPIVOT (SELECT {e} FROM {b}) ON COLUMNS(*) INTO NAME name VALUE v) t USING (name)"""
 

@@ -39,11 +39,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/paritas/{spark.sparkContext.applicationId}"
+
+
+def remove_written(spark: SparkSession, application: str | None = None) -> None:
+    """Removes all tables that an application (this one, unless named) left in the shared folder. Results that were not
+    written or collected yet can't be read any more."""
+    path = f"{shared_folder(spark)}/paritas/{application}" if application else _own_folder(spark)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """df written once as Parquet to the shared folder and read back: it cuts the lineage, is computed once
-    however often it is read, and survives the loss of executors."""
+    however often it is read, and survives the loss of executors. Results may read it until the application ends;
+    remove_written() removes what an application wrote."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/paritas/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

@@ -108,9 +108,9 @@ def compact(spark: SparkSession, path: str) -> None:
 GAPS = "table_name string, first long, last long, state string"
 
 
-def gap_stream(events: DataFrame, time: str = "event_ts") -> DataFrame:
+def gap_stream(events: DataFrame) -> DataFrame:
     """table_name, first, last, state: `open` for each run of sequences that are missing once a later one came, `closed`
-    when some of it arrives after all (rest of it is open again). A table's state is its open runs and last sequence."""
+    when some of it arrives after all (rest of it is open again). A table's state is its open runs and last sequence, so it grows with what is missing."""
 
     def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, flat = state.get if state.exists else (None, [])
