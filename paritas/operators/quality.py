@@ -275,8 +275,13 @@ def _whole_shards(columns: list[str], shares: list[str], batch: int):
 
 def _sided(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Each row twice: for its own load's pair (y = 1), and for that of the load numbered one higher (y = 0)."""
-    pairs = F.array(F.struct("load_id", F.lit(1).alias("y")), F.struct((F.col("load_id") + 1).alias("load_id"), F.lit(0).alias("y")))
-    return rows.select(F.explode(pairs).alias("p"), *columns).select("p.load_id", "p.y", *columns)
+    pairs = F.array(F.struct("load_id", F.lit(1).alias("y")), F.struct(_next_load(), F.lit(0).alias("y")))
+    return rows.select(F.explode(pairs).alias("p"), *columns).select("p.load_id", "p.y", *columns).where("load_id is not null")
+
+
+def _next_load() -> Column:
+    """The load numbered one higher; none after the greatest number there is."""
+    return F.try_add("load_id", F.lit(1)).alias("load_id")
 
 
 def _by_side_and_fold(name: str, value: str) -> list[Column]:
@@ -431,7 +436,7 @@ def findings(df: DataFrame, recorded: DataFrame, spec: TableSpec, limits: Limits
     large = found.where(F.col("row_count") >= limits.rows)
     shape = ["row_count", "null_count", "most_abs"]
     this = large.select("load_id", "column_name", *shape)
-    other = large.select((F.col("load_id") + 1).alias("load_id"), "column_name", *[F.col(c).alias(f"o_{c}") for c in shape])
+    other = large.select(_next_load(), "column_name", *[F.col(c).alias(f"o_{c}") for c in shape])
     reported = known.select("load_id", "column_name").distinct()
     pairs = written(this.join(other, ["load_id", "column_name"]).join(reported, ["load_id", "column_name"]), "pairs")
     times = F.lit(limits.range_shift)

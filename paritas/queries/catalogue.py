@@ -173,6 +173,13 @@ def rec_invariant_failures(spark, d):
     return found.select("k", F.round("expected", 4).alias("expected"), F.round("actual", 4).alias("actual"), "reason")
 
 
+@query(f"""WITH {_ACCOUNTS} SELECT CAST(c_custkey AS varchar) AS k FROM acc WHERE c_custkey % 29 = 0 OR c_custkey % 31 = 0""")
+def rec_invariant_failures_absolute(spark, d):
+    """Within an absolute tolerance alone; every 31st closing balance is no number."""
+    closing = F.when(F.col("c_custkey") % 31 == 0, "n/a").otherwise(F.col("closing_balance").cast("string"))
+    return reconcile.invariant_failures(accounts_of_orders(spark, d).withColumn("closing_balance", closing), "c_custkey", relative=0).select("k")
+
+
 @query(f"""WITH {_COMPARED} SELECT (SELECT count(*) FROM orders) AS source_count, (SELECT count(*) FROM target) AS target_count,
   count(*) FILTER (finding = 'missing') AS missing, count(*) FILTER (finding = 'unexpected') AS unexpected, count(*) FILTER (finding = 'duplicate') AS duplicates,
   count(*) FILTER (finding = 'mismatch') AS mismatches, CAST(0 AS bigint) AS referential_errors, CAST(0 AS bigint) AS invariant_errors,
@@ -455,6 +462,14 @@ def prof_findings(spark, d):
     return found.select("category", "subject", "status", F.round("confidence", 6).alias("confidence"))
 
 
+@query("""SELECT 'legacy_accounts.status' AS subject, (SELECT CAST(to_json(list(v ORDER BY v)) AS varchar) FROM (SELECT DISTINCT status AS v FROM legacy_accounts WHERE status IS NOT NULL ORDER BY v LIMIT 12)) AS detail
+  UNION ALL SELECT 'legacy_transactions.txn_type', (SELECT CAST(to_json(list(v ORDER BY v)) AS varchar) FROM (SELECT DISTINCT txn_type AS v FROM legacy_transactions WHERE txn_type IS NOT NULL ORDER BY v LIMIT 12))""")
+def prof_categories(spark, d):
+    """The first values of columns that are categories by their names: a list of up to 12 is the finding."""
+    tables = {"legacy_accounts": table(spark, d, "legacy_accounts").select("acct_no", "status"), "legacy_transactions": table(spark, d, "legacy_transactions").select("txn_id", "txn_type")}
+    return profile.findings(tables).where("category = 'categorical'").select("subject", "detail")
+
+
 _RENAMED = "CASE WHEN column_name LIKE '%_no' THEN replace(column_name, '_no', '_id') WHEN column_name = 'dob' THEN 'date_of_birth' ELSE column_name END"
 
 
@@ -696,6 +711,22 @@ def hash_canonical(spark, d):
     return df.select("n_nationkey", canonical_json(df.columns).alias("canonical"), sha256_text(F.col("n_name")).alias("digest"))
 
 
+@query("SELECT count(*) AS rows, ['n_name', 'n_nationkey', 'n_regionkey']::varchar AS columns FROM nation")
+def src_fingerprint(spark, d):
+    from paritas.sources.sinks import row_count_and_columns
+
+    told = row_count_and_columns(table(spark, d, "nation").select("n_regionkey", "n_nationkey", "n_name"))
+    return told.select("rows", F.concat(F.lit("["), F.array_join("columns", ", "), F.lit("]")).alias("columns"))
+
+
+@query("SELECT n_nationkey, sha256(json_object('n_name', n_name, 'n_nationkey', n_nationkey)) AS digest FROM nation")
+def hash_without_system_columns(spark, d):
+    from paritas.functions.hashing import row_fingerprint, strip_system
+
+    plain = strip_system(table(spark, d, "nation").select("n_nationkey", "n_name", F.lit("x").alias("_par_lineage"), F.col("n_regionkey").alias("_par_batch")))
+    return plain.select("n_nationkey", row_fingerprint(plain.columns).alias("digest"))
+
+
 @query("SELECT count(*) AS rows, count(DISTINCT (o_custkey, o_orderstatus)) AS digests FROM orders")
 def hash_fast(spark, d):
     h = labelled_fingerprint({"Customer": F.col("o_custkey"), "Status": F.col("o_orderstatus")})

@@ -132,22 +132,42 @@ def merge_statement(table: str, columns: list[str], key: str, dialect: str = "an
     return f"MERGE INTO {q(table)} AS t USING {source} ON t.{q(key)} = s.{q(key)}{update}{insert};"
 
 
+def staged_statements(table: str, columns: list[str], key: str, dialect: str = "ansi") -> tuple[str, str, str]:
+    """Statements that make a temporary table of a table's shape, put a parameter row into it, and merge all of it into the
+    table at once."""
+    q = lambda c: quoted(c, dialect)
+    names = sorted(columns)
+    listed = ", ".join(map(q, names))
+    stage = f"#{table}_stage" if dialect == "sqlserver" else q(f"{table}_stage")
+    make = f"SELECT {listed} INTO {stage} FROM {q(table)} WHERE 1 = 0;" if dialect == "sqlserver" else f"CREATE TEMPORARY TABLE {stage} AS SELECT {listed} FROM {q(table)} WHERE 1 = 0;"
+    put = f"INSERT INTO {stage} ({listed}) VALUES ({', '.join(['?' if dialect == 'sqlserver' else '%s'] * len(names))});"
+    rows = f"(VALUES ({', '.join(['?' if dialect == 'sqlserver' else '%s'] * len(names))})) AS s ({listed})"
+    return make, put, merge_statement(table, columns, key, dialect).replace(rows, f"{stage} AS s")
+
+
 def upsert_database(df: DataFrame, connect, table: str, key: str, dialect: str = "ansi", batch: int = 1000) -> None:
-    """Merges rows into a database, a connection a partition, in batches; connect() opens a DB-API connection there."""
+    """Upserts rows into a database: each partition puts its rows into a temporary table, in batches, and merges that once;
+    connect() opens a DB-API connection there. A key must come once (see load.last_wins); partitions are by key, so that
+    no two of them merge the same row, and a partition that is run again changes nothing."""
     columns = sorted(df.columns)
-    statement = merge_statement(table, columns, key, dialect)
+    make, put, merge = staged_statements(table, columns, key, dialect)
 
     def send(rows) -> None:
+        first = next(rows, None)
+        if first is None:
+            return
         connection = connect()
         try:
-            cursor, held = connection.cursor(), []
+            cursor, held = connection.cursor(), [tuple(first[c] for c in columns)]
+            cursor.execute(make)
             for row in rows:
                 held.append(tuple(row[c] for c in columns))
                 if len(held) == batch:
-                    cursor.executemany(statement, held)
+                    cursor.executemany(put, held)
                     held = []
             if held:
-                cursor.executemany(statement, held)
+                cursor.executemany(put, held)
+            cursor.execute(merge)
             connection.commit()
         except BaseException:
             connection.rollback()
@@ -155,7 +175,7 @@ def upsert_database(df: DataFrame, connect, table: str, key: str, dialect: str =
         finally:
             connection.close()
 
-    df.select(*columns).foreachPartition(send)
+    df.select(*columns).repartition(key).foreachPartition(send)
 
 
 def write_report(path: str, certification: dict, technical: dict, executive: dict) -> None:

@@ -134,6 +134,15 @@ def test_classifier_tells_changed_columns(spark):
     assert not {x for x in proposed if x[1] in ("id", "amount", "day") and x[0] < 6}
 
 
+def test_loads_of_any_number(spark):
+    """Negative numbers, the greatest and the least one, columns named like those the operator makes."""
+    spec = TableSpec("t", {"n": None, "fold": None, "at": r"\A[0-9]+\z"}, ("fold", "n"), ())
+    made = [(str(i % 5), "x" if load % 2 else "y", str(i), load, i) for load in (-3, -2, 2**31 - 2, 2**31 - 1, -(2**31)) for i in range(220)]
+    df = spark.createDataFrame(made, "n string, fold string, at string, load_id int, value int")
+    right = profiles(value_counts(df, spec), spec)
+    assert rows(findings(df, right, spec)) == {(-2, "fold", "value_shift"), (2**31 - 1, "fold", "value_shift")}
+
+
 def test_shards_of_one_pair_tell_as_much_as_the_whole(spark):
     """A pair dealt out in many shards, as that of a load with a third of all rows is."""
     cells = counted_cells(loads(spark).withColumn("kind", F.concat("kind", F.xxhash64("amount") % 3)), SPEC)

@@ -463,6 +463,51 @@ def test_file_source(spark, tmp_path):
     assert "WHEN MATCHED" not in sinks.merge_statement("t", ["id"], "id") and "UPDATE SET" in sinks.merge_statement("t", ["id", "v"], "id")
 
 
+def test_staged_upsert_statements():
+    make, put, merge = sinks.staged_statements("t", ["v", "id"], "id")
+    assert make == 'CREATE TEMPORARY TABLE "t_stage" AS SELECT "id", "v" FROM "t" WHERE 1 = 0;' and put == 'INSERT INTO "t_stage" ("id", "v") VALUES (%s, %s);'
+    assert merge.startswith('MERGE INTO "t" AS t USING "t_stage" AS s ON t."id" = s."id" WHEN MATCHED THEN UPDATE SET "v" = s."v"')
+    make, put, merge = sinks.staged_statements("t", ["v", "id"], "id", "sqlserver")
+    assert "#t_stage" in make and "(?, ?)" in put and "USING #t_stage AS s" in merge
+    with pytest.raises(sinks.SinkError):
+        sinks.staged_statements("t; drop", ["id"], "id")
+
+
+def test_upsert_into_a_database_merges_once_a_partition(spark, tmp_path):
+    class Table:
+        """A database of one table for one test, in files: what is executed, and what is put."""
+
+        def __init__(self, folder):
+            self.folder = folder
+
+        def __call__(self):
+            import uuid
+
+            self.log = open(f"{self.folder}/{uuid.uuid4().hex}", "w")
+            return self
+
+        def cursor(self):
+            return self
+
+        def execute(self, statement):
+            print(statement.split()[0], file=self.log)
+
+        def executemany(self, statement, rows):
+            print("ROWS", len(rows), file=self.log)
+
+        def commit(self):
+            print("COMMIT", file=self.log)
+
+        def close(self):
+            self.log.close()
+
+    df = spark.range(250).withColumn("v", F.lit("x"))
+    sinks.upsert_database(df, Table(str(tmp_path)), "t", "id", batch=40)
+    logs = [p.read_text().split("\n") for p in tmp_path.iterdir()]
+    assert logs and all(x[0] == "CREATE" and x[-3:-1] == ["MERGE", "COMMIT"] and x.count("MERGE") == 1 for x in logs)
+    assert sum(int(line.split()[1]) for x in logs for line in x if line.startswith("ROWS")) == 250
+
+
 def test_snapshots_and_logs(spark, tmp_path):
     root_ = f"{tmp_path}/s"
     one = sinks.put_snapshot(spark, root_, "p", {"b": 1, "a": 2})
