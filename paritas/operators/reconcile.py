@@ -17,6 +17,7 @@ from paritas.operators.orphans import SALTS
 from paritas.session import written
 
 STATS = ("sum", "min", "max", "avg")
+_STAT = {"sum": F.sum, "min": F.min, "max": F.max, "avg": F.avg}
 QUANTILES = (0.5, 0.95, 0.99)
 #: Levels of a Merkle tree that are folded at once, and the leaves below them.
 HEIGHT = 12
@@ -59,9 +60,8 @@ def _number(column: str) -> Column:
 
 def aggregates(df: DataFrame, fields: list[str]) -> DataFrame:
     """One row: n and `field.stat` of each numeric field over its parsable values; null when there are none."""
-    stat = {"sum": F.sum, "min": F.min, "max": F.max, "avg": F.avg}
     return df.agg(
-        F.count(F.lit(1)).alias("n"), *[stat[s](_number(f)).alias(f"{f}.{s}") for f in fields for s in STATS]
+        F.count(F.lit(1)).alias("n"), *[_STAT[s](_number(f)).alias(f"{f}.{s}") for f in fields for s in STATS]
     )
 
 
@@ -151,18 +151,23 @@ def referential_errors(child: DataFrame, key: Column, reference: Column, parents
 BALANCE = ("opening_balance", "credits", "debits", "adjustments", "closing_balance")
 
 
+def _balance(absolute: float, relative: float) -> tuple[Column, Column, Column]:
+    """expected, actual and reason of the balance of a row; no reason where it holds."""
+    o, c, d, a, closing = (_number(x) for x in BALANCE)
+    expected = o + c - d + a
+    bound = F.greatest(F.lit(absolute), relative * F.greatest(F.abs(expected), F.abs(closing)))
+    apart = F.abs(expected - closing) > bound
+    return expected, closing, F.when(expected.isNull() | closing.isNull(), "non-numeric balance fields").when(apart, "balance invariant")
+
+
 def invariant_failures(df: DataFrame, key: str, absolute: float = 1e-4, relative: float = 1e-9) -> DataFrame:
     """key, expected, actual, reason of rows whose closing balance isn't opening + credits - debits + adjustments, within
     the larger of an absolute and a relative tolerance (relative=0: the absolute alone); a value that is no number is a
     failure of its own. Rows of tables that lack one of the five columns have none."""
     if not set(BALANCE) <= set(df.columns):
         return df.sparkSession.createDataFrame([], "k string, expected double, actual double, reason string")
-    o, c, d, a, closing = (_number(x) for x in BALANCE)
-    expected = o + c - d + a
-    bound = F.greatest(F.lit(absolute), relative * F.greatest(F.abs(expected), F.abs(closing)))
-    apart = F.abs(expected - closing) > bound
-    reason = F.when(expected.isNull() | closing.isNull(), "non-numeric balance fields").when(apart, "balance invariant")
-    shaped = df.select(text_key(key).alias("k"), expected.alias("expected"), closing.alias("actual"), reason.alias("reason"))
+    expected, actual, reason = _balance(absolute, relative)
+    shaped = df.select(text_key(key).alias("k"), expected.alias("expected"), actual.alias("actual"), reason.alias("reason"))
     return shaped.where("reason is not null")
 
 
@@ -295,24 +300,24 @@ def reconcile(
     n = lambda what: F.count(F.when(F.col("finding") == what, 1)).alias(what)
     least = lambda what: F.min(F.when(F.col("finding") == what, F.col("k")))
     keys = found.agg(n("missing"), n("unexpected"), n("duplicate"), n("mismatch"), F.coalesce(least("missing"), least("mismatch")).alias("earliest"))
+    # One pass a side gives its counts, statistics and broken invariants; what is compared are two rows.
+    counts, names = F.count(F.lit(1)), [(f, x) for f in numeric_fields for x in STATS]
+    stats = lambda side: [_STAT[x](_number(f)).alias(f"{side}{i}") for i, (f, x) in enumerate(names)]
     nulls = F.count(F.when(F.col(f"`{key}`").isNull(), 1)).alias("null_keys")
-    counts = source.agg(F.count(F.lit(1)).alias("source_count"), nulls).crossJoin(target.agg(F.count(F.lit(1)).alias("target_count")))
-    report = counts.crossJoin(keys)
-    if numeric_fields:
-        deltas = aggregate_deltas(source, target, list(numeric_fields)).agg(
-            F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "delta")))).alias("deltas"),
-            F.coalesce(F.max(F.abs("delta")), F.lit(0.0)).alias("worst"),
-        )
-    else:
-        deltas = source.sparkSession.range(1).select(F.create_map().cast("map<string,double>").alias("deltas"), F.lit(0.0).alias("worst"))
-    report = report.crossJoin(deltas)
+    off = F.count(_balance(1e-4, 1e-9)[2]) if set(BALANCE) <= set(target.columns) else F.lit(0).cast("long")
+    mine = source.agg(counts.alias("source_count"), nulls, *stats("s"))
+    theirs = target.agg(counts.alias("target_count"), off.alias("invariant_errors"), *stats("t"))
+    delta = [F.when(F.col(f"s{i}").isNotNull(), F.struct(F.lit(f"{f}.{x}").alias("name"), (F.coalesce(f"t{i}", F.lit(0.0)) - F.col(f"s{i}")).alias("delta"))) for i, (f, x) in enumerate(names)]
+    told = F.array_compact(F.array(*delta)) if delta else F.array().cast("array<struct<name:string,delta:double>>")
+    worst = F.coalesce(F.array_max(F.transform(told, lambda x: F.abs(x["delta"]))), F.lit(0.0)).alias("worst")
+    sides = mine.crossJoin(F.broadcast(theirs)).select("source_count", "target_count", "null_keys", "invariant_errors", F.map_from_entries(F.array_sort(told)).alias("deltas"), worst)
+    report = sides.crossJoin(F.broadcast(keys))  # one row each
     broken = None
     for r in references:
         part = referential_errors(target, text_key(key), F.col(f"`{r.column}`"), r.parents, F.col(f"`{r.key}`")).agg(F.count(F.lit(1)).alias("n"))
         broken = part if broken is None else broken.unionByName(part)
     total = (broken if broken is not None else source.sparkSession.range(0).select(F.col("id").alias("n"))).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("referential_errors"))
-    invariants = invariant_failures(target, key).agg(F.count(F.lit(1)).alias("invariant_errors"))
-    report = report.crossJoin(total).crossJoin(invariants)
+    report = report.crossJoin(F.broadcast(total))
     faults = ("missing", "unexpected", "duplicate", "mismatch", "referential_errors", "invariant_errors")
     passed = F.col("worst") <= max_delta
     for fault in faults:
