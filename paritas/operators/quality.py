@@ -162,9 +162,11 @@ def profiles(counts: DataFrame, spec: TableSpec, extremes: bool = True) -> DataF
     for column, form in spec.forms.items():
         if form is not None:
             bad = F.when(place[column], ~_has_form(form, value)).otherwise(bad)
+    # The form is looked at once, for both of its uses.
+    formed = counts.withColumn("bad", value.isNotNull() & bad)
     most = F.lit(None).cast("decimal(38,2)")
     for column in spec.by_range:
-        most = F.when(place[column] & _has_form(spec.forms[column], value), F.abs(value.try_cast("decimal(38,2)"))).otherwise(most)
+        most = F.when(place[column] & ~F.col("bad"), F.abs(value.try_cast("decimal(38,2)"))).otherwise(most)
     # Nulls aren't filtered before the limit, so that both readings of the counts share one exchange. One number for a
     # column of a load, and one for null and count, make the comparisons of the sort short.
     last = F.when(value.isNull(), F.lit(1).cast("long")).otherwise(-n)
@@ -176,11 +178,11 @@ def profiles(counts: DataFrame, spec: TableSpec, extremes: bool = True) -> DataF
         .agg(F.collect_list(F.when(value.isNotNull(), F.struct("r", "value", "n"))).alias("top"))
         .select("at", F.transform(F.array_sort("top"), lambda x: F.struct(x["value"].alias("value"), x["n"].alias("n"))).alias("top_values"))
     )
-    base = counts.groupBy("at").agg(
+    base = formed.groupBy("at").agg(
         F.sum("n").alias("row_count"),
         F.coalesce(F.sum(F.when(value.isNull(), n)), F.lit(0)).alias("null_count"),
         F.count("value").alias("distinct_count"),
-        F.coalesce(F.sum(F.when(value.isNotNull() & bad, n)), F.lit(0)).alias("malformed"),
+        F.coalesce(F.sum(F.when(F.col("bad"), n)), F.lit(0)).alias("malformed"),
         *([F.min("value").alias("min_value"), F.max("value").alias("max_value")] if extremes else []),
         F.max(most).alias("most_abs"),
     )
