@@ -34,7 +34,7 @@ W, M = 240, 32
 BLOCK, SORTED = 262_144, 1_500_000
 
 #: Bits of the bitmap for each shared minimiser, and the least and most bits it has.
-SPARSE, LEAST_BITS, MOST_BITS = 128, 1 << 23, 1 << 31
+SPARSE, LEAST_BITS, MOST_BITS = 128, 1 << 23, 1 << 30
 
 #: Windows of one minimiser beyond which it is told apart further, and the most further hashes.
 HOT, LEVELS = 2_000_000, 16
@@ -149,16 +149,20 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["anchor", "low", "high", "windows"])
 
 
-def _read_bitmaps(path: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The bits of shared minimisers, and of those among them that are hot."""
+def _read_bitmap(path: str, bits: int, hot: bool) -> np.ndarray:
+    """The bits of hot minimisers, or of those shared ones that share no bit with a hot one."""
     import pyarrow.dataset as ds
 
     place = urlparse(path)
     rows = ds.dataset(place.path if place.scheme in ("", "file") else path, format="parquet").to_table().to_pylist()
-    out = np.zeros((2, bits // 8), np.uint8)
-    for row in rows:
-        out[int(row["hot"]), (row["part"] - 1) * 4096 : row["part"] * 4096] = np.frombuffer(row["bitmap"], np.uint8)
-    return out[0] | out[1], out[1]
+    out = np.zeros(bits // 8, np.uint8)
+    for row in sorted(rows, key=lambda r: r["hot"]):
+        part, at = np.frombuffer(row["bitmap"], np.uint8), slice((row["part"] - 1) * 4096, row["part"] * 4096)
+        if hot and row["hot"]:
+            out[at] = part
+        elif not hot:
+            out[at] = out[at] & ~part if row["hot"] else part
+    return out
 
 
 def _has_bit(bitmap: np.ndarray, anchors: np.ndarray) -> np.ndarray:
@@ -187,11 +191,11 @@ def _packer(path: str, bits: int, levels: int = 0):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Super-k-mers of shared anchors: anchor, the packed string, and where it stands (docs, places). levels: those of
         hot anchors, told apart by so many further minimisers; 0: those of all others."""
-        shared, hot = _read_bitmaps(path, bits)
+        wanted = _read_bitmap(path, bits, levels > 0)
         for batch in batches:
             for codes, bounds, docs, places in _blocks(batch):
                 least, starts, ends = super_kmers(codes, bounds)
-                hit = _has_bit(hot, least) if levels else _has_bit(shared, least) & ~_has_bit(hot, least)
+                hit = _has_bit(wanted, least)
                 least, starts, ends = least[hit], starts[hit], ends[hit]
                 if not len(least):
                     continue
@@ -362,7 +366,7 @@ def shared_spans(documents: DataFrame, bits: int | None = None, hot: int = HOT)
     bitmaps = anchors.groupBy((F.col("windows") > hot).alias("hot"), F.bitmap_bucket_number(bit).alias("part")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bitmap")
     )
-    # At most twice MOST_BITS / 8 bytes; the workers read them from the shared folder.
+    # At most twice MOST_BITS / 8 bytes; the workers read one of them from the shared folder.
     folder = written(bitmaps, "bitmaps").inputFiles()[0].rsplit("/", 1)[0]
     stretches = (
         texts.mapInArrow(_packer(folder, bits), PACKED)
