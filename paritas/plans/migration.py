@@ -152,11 +152,13 @@ class Engine:
         """Adds moves of a run to the log, each chained to the one before."""
         last = self.log().where(F.col("migration_id") == run).agg(F.max(F.struct("entry_no", "new_state", "entry_hash")).alias("e")).collect()[0]["e"]
         number, state, before = last or (-1, "DRAFT", "")
+        entries = []
         for new in states:
             number += 1
             entry = chained(before, {"entry_no": number, "migration_id": run, "action": "MOVE", "old_state": state, "new_state": new, "at": datetime.now(timezone.utc).isoformat()}, self.spark)
-            before, state = entry.collect()[0]["entry_hash"], new
-            append_json(entry, f"{self.root}/log")
+            entries.append(entry.collect()[0])
+            before, state = entries[-1]["entry_hash"], new
+        append_json(self.spark.createDataFrame(entries, entry.schema).coalesce(1), f"{self.root}/log")
 
     def migrate(
         self, migration_id: str, table: str, rows: DataFrame, key: str, order: list, transformations: dict[str, str] | None = None, batch_size: int = BATCH_SIZE, stop_after: int | None = None
