@@ -486,11 +486,11 @@ def prof_mappings(spark, d):
     return profile.propose_mappings(source, target)
 
 
-@query("""SELECT metric, round(CAST(distance AS double), 6) AS distance FROM (VALUES ('schema', 5 / 9), ('entity', 1 - 1 / 3), ('relationship', 0.0), ('semantic', 1 - 3 / 6), ('behavioral', 1 / 3)) AS x(metric, distance)""")
+@query("""SELECT metric, round(CAST(distance AS double), 6) AS distance FROM (VALUES ('schema', 5 / 9), ('entity', 1 - 1 / 3), ('relationship', 0.0), ('semantic', 1 - 3 / 6), ('behavioral', (least(1, (SELECT count(*) FROM region)) + least(1, (SELECT count(*) FROM supplier))) / 3)) AS x(metric, distance)""")
 def prof_genome_distance(spark, d):
     part = lambda t, *c: table(spark, d, t).select(*c)
     left = {"nation": part("nation", "n_nationkey", "n_name", "n_regionkey"), "region": part("region", "r_regionkey")}
-    right = {"nation": part("nation", "n_nationkey", "n_name", "n_regionkey"), "supplier": part("supplier", "s_suppkey", "s_name").limit(0)}
+    right = {"nation": part("nation", "n_nationkey", "n_name", "n_regionkey"), "supplier": part("supplier", "s_suppkey", "s_name")}
     found = profile.genome_distance(profile.genome(left), profile.genome(right))
     # The metrics of its twin; prof_genome_distance_legacy has all.
     return found.where("metric in ('schema', 'entity', 'relationship', 'semantic', 'behavioral')").withColumn("distance", F.round("distance", 6))
